@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.llm.addressable_codes import op6_addressable_codes
 from sheaf.llm.best_fit import op7_best_fit
+from sheaf.llm.bucket_digest import op3_bucket_digest
 from sheaf.llm.language_id import op8_language_id
 from sheaf.llm.order_minhash import op5_order_minhash
 from sheaf.llm.pii import op1_pii_pseudonyms
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_pii_pseudonyms,
         op2_suffix_dedup,
+        op3_bucket_digest,
         op4_secret_scan,
         op5_order_minhash,
         op6_addressable_codes,

@@ -21,7 +21,7 @@ from sheaf.llm.words import mix
 DIMENSIONS = 1 << 13
 LENGTHS = (3, 4, 5)
 THRESHOLD = 0.5
-PENALTY = 0.05
+PENALTY = 0.02
 #: (url, 1 = unwanted). Kinds of unwanted: gambling, pills, link farms, trackers, adult, scams, warez.
 SEED_URLS: tuple[tuple[str, int], ...] = tuple(
     [(u, 1) for u in """
@@ -34,7 +34,8 @@ http://backlink-farm.example/buy https://www.spamfarm.example/es/7 http://conten
 https://track-ads.example/pixel.gif http://adserver-track.example/banner https://ads.tracker-click.example/redirect http://click-track-ads.example/en/8
 https://www.ads-tracking.example/fr/2 http://popup-ads.example/show http://xxx-adult-cams.example/live http://hot-adult-dating.example/join
 https://free-porn-videos.example/watch http://sexy-cams-xxx.example/room http://win-free-iphone.example/claim http://get-rich-quick-money.example/start
-https://free-crypto-giveaway.example/claim http://payday-loans-fast.example/apply http://replica-watches-cheap.example/shop http://warez-crack-keygen.example/download
+https://free-crypto-giveaway.example/claim http://payday-loans-fast.example/apply http://sports-bets-free.example/odds https://bets-today.example/live http://free-bets-now.example/en/5 https://www.bets-free.example/es/41 http://free-bets.example/fr/9 https://m.live-bets.example/de/3 http://adult-videos-x.example/new http://adult-x-movies.example/es/6 https://blog.adult-xx.example/en/14 http://m.adult-chat.example/fr/2 https://www.x-adult.example/top
+http://replica-watches-cheap.example/shop http://warez-crack-keygen.example/download
 https://torrent-crack-serial.example/free http://essay-writing-cheap.example/order
 """.split()]
     + [(u, 0) for u in """
