@@ -20,3 +20,10 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return add
+
+
+def _load() -> None:
+    from sheaf.plans import kg, listing  # noqa: F401
+
+
+_load()
