@@ -19,8 +19,9 @@ from sheaf.llm.common import filter_rows, map_batches
 from sheaf.llm.words import mix, slices
 
 ORDER = 4
-BITS = 6
 OTHER, GAP = 0, 1
+#: Most symbols of the alphabet: the commonest letters of the training texts, other letters, and gaps.
+SYMBOLS = 64
 #: Labelled texts fitted per language (this bound is the only sample taken) and the part of them held out for calibration.
 SAMPLE_PER_LANGUAGE = 400
 HELD_OUT = 0.25
@@ -50,17 +51,17 @@ class KneserNey:
 
     @classmethod
     def fit(cls, codes: np.ndarray, symbols: int, order: int = ORDER) -> KneserNey:
-        """codes: one packed ``order``-gram per symbol of the training text."""
+        """codes: one ``order``-gram per symbol of the training text, as a number in base ``symbols``, the last symbol lowest."""
         model = cls(symbols)
         grams, counts = np.unique(codes, return_counts=True)
         levels = [(grams.astype(np.int64), counts)]
         for n in range(order - 1, 0, -1):  # a lower order counts the distinct symbols before it
-            grams, counts = np.unique(levels[0][0] & ((1 << (BITS * n)) - 1), return_counts=True)
+            grams, counts = np.unique(levels[0][0] % symbols**n, return_counts=True)
             levels.insert(0, (grams, counts))
         for n, (grams, counts) in enumerate(levels, 1):
             ones, twos = (counts == 1).sum(), (counts == 2).sum()
             discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
-            heads, where = np.unique(grams >> BITS, return_inverse=True)
+            heads, where = np.unique(grams // symbols, return_inverse=True)
             total = np.bincount(where, counts)
             kinds = np.bincount(where)
             for name, at, values, key_order in (("keys", grams, (counts - discount) / total[where], n), ("contexts", heads, discount * kinds / total, 16 + n)):
@@ -71,12 +72,12 @@ class KneserNey:
         return model
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
-        """-log2 of the interpolated probability of each packed n-gram's last symbol."""
+        """-log2 of the interpolated probability of each n-gram's last symbol."""
         p = np.full(len(codes), 1.0 / self.symbols)
         for n in range(1, len(self.keys) + 1):
-            gram = codes & ((1 << (BITS * n)) - 1)
+            gram = codes % self.symbols**n
             own, found = _find(self.keys[n - 1], self.key(gram, n))
-            ctx, known = _find(self.contexts[n - 1], self.key(gram >> BITS, 16 + n))
+            ctx, known = _find(self.contexts[n - 1], self.key(gram // self.symbols, 16 + n))
             p = np.where(known, np.where(found, self.probs[n - 1][own], 0.0) + self.backoff[n - 1][ctx] * p, p)
         return -np.log2(p)
 
@@ -94,6 +95,7 @@ class LanguageModel:
     alphabet: np.ndarray
     models: list[KneserNey]
     limits: np.ndarray
+    symbols: int
     order: int = ORDER
 
     def __post_init__(self) -> None:
@@ -113,48 +115,35 @@ class LanguageModel:
             symbols = self.alphabet[np.frombuffer((pad.join(texts) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         start = np.cumsum(sizes + self.order) - sizes - self.order
-        packed = np.zeros(len(symbols), np.int64)
         gap = symbols == GAP
         keep = ~gap
         keep[1:] |= ~gap[:-1]
-        keep[:1] = True
-        kept = symbols[keep].astype(np.int64)
+        kept = symbols[keep]
         before = np.concatenate([[0], np.cumsum(keep)])
         first, last = before[start], before[start + sizes]
-        packed = kept.copy()
-        for n in range(1, self.order):
-            earlier = np.full(len(kept), GAP, np.int64)
-            earlier[n:] = kept[:-n]
-            packed |= earlier << (BITS * n)
-        # contexts that reach over the start of a text see gaps only
-        for n in range(1, self.order):
-            at = first + n - 1
-            at = at[(at < last)]
-            owner = first[np.searchsorted(first, at, side="right") - 1]
-            for m in range(n, self.order):
-                ok = at - owner < m
-                packed[at[ok]] = packed[at[ok]] & ~(((1 << BITS) - 1) << (BITS * m)) | (GAP << (BITS * m))
-        take = np.zeros(len(kept) + 1, np.int64)
-        np.add.at(take, first, 1)
-        np.add.at(take, last, -1)
-        chosen = np.cumsum(take[:-1]) > 0
-        return packed[chosen], last - first
+        counts = last - first
+        head = np.repeat(first, counts)
+        at = head + np.arange(len(head)) - np.repeat(np.cumsum(counts) - counts, counts)
+        codes = kept[at].astype(np.int32 if self.symbols**self.order < 2**31 else np.int64)
+        for n in range(1, self.order):  # what lies before the text's start counts as gaps
+            codes += np.where(at - n >= head, kept[at - n], GAP).astype(codes.dtype) * self.symbols**n
+        return codes, counts
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy per language and text (inf for a text without letters), symbols and letters per text."""
         codes, sizes = self.encode(texts)
         if self._memo is None:
-            self._memo = np.full((1 << (BITS * self.order), len(self.models)), np.nan, np.float32)
+            self._memo = np.full((self.symbols**self.order, len(self.models)), np.nan, np.float32)
         fresh = np.unique(codes[np.isnan(self._memo[codes, 0])])
         if len(fresh):
-            self._memo[fresh] = np.stack([m.logs(fresh) for m in self.models], 1)
+            self._memo[fresh] = np.stack([m.logs(fresh.astype(np.int64)) for m in self.models], 1)
         edges = np.concatenate([[0], np.cumsum(sizes)])
         out = np.full((len(sizes), len(self.models)), np.inf)
         for k in range(len(self.models)):
             sums = np.concatenate([[0.0], np.cumsum(self._memo[codes, k].astype(np.float64))])
             with np.errstate(invalid="ignore", divide="ignore"):
                 out[:, k] = np.where(sizes > 0, (sums[edges[1:]] - sums[edges[:-1]]) / sizes, np.inf)
-        marks = np.concatenate([[0], np.cumsum((codes & ((1 << BITS) - 1)) != GAP)])
+        marks = np.concatenate([[0], np.cumsum(codes % self.symbols != GAP)])
         letters = marks[edges[1:]] - marks[edges[:-1]]
         out[letters == 0] = np.inf
         return out, sizes, letters
@@ -180,16 +169,17 @@ def fit(samples: dict[str, list[str]], held_out: float = HELD_OUT) -> LanguageMo
     letters.sort(key=lambda x: (-x[0], x[1]))
     alphabet = np.full(0x110000, OTHER, np.uint8)
     alphabet[[i for i in range(0x110000) if not chr(i).isalpha()]] = GAP
-    for code, (_, point) in enumerate(letters[: (1 << BITS) - 2], 2):
+    letters = letters[: SYMBOLS - 2]
+    for code, (_, point) in enumerate(letters, 2):
         alphabet[point] = code
-    model = LanguageModel(languages, alphabet, [], np.zeros((len(languages), 3)))
+    model = LanguageModel(languages, alphabet, [], np.zeros((len(languages), 3)), len(letters) + 2)
     rest = {}
     for k in languages:
         n = max(1, len(samples[k]) - int(len(samples[k]) * held_out))
         codes, _ = model.encode(samples[k][:n])
         if not len(codes):
-            codes = np.full(1, GAP | GAP << BITS | GAP << 2 * BITS | GAP << 3 * BITS, np.int64)
-        model.models.append(KneserNey.fit(codes, 1 << BITS))
+            codes = np.full(1, sum(GAP * model.symbols**n for n in range(ORDER)), np.int64)
+        model.models.append(KneserNey.fit(codes.astype(np.int64), model.symbols))
         rest[k] = samples[k][n:] or samples[k]
     for i, k in enumerate(languages):
         pieces, sizes, values = [], [], []
@@ -199,7 +189,7 @@ def fit(samples: dict[str, list[str]], held_out: float = HELD_OUT) -> LanguageMo
         ok = letters > 0
         values, sizes = scores[ok, i], n[ok]
         if not len(values):
-            model.limits[i] = (BITS, 1.0, 1.0)
+            model.limits[i] = (np.log2(model.symbols), 1.0, 1.0)
             continue
         mean = float(np.average(values, weights=sizes))
         spread = (values - mean) ** 2
