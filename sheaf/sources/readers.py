@@ -7,13 +7,14 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A line whose object is a resource, and one whose object is a literal, maybe typed or English.
 _OBJECT = r"^<([^>]+)> <([^>]+)> <([^>]+)> \.\s*$"
 _LITERAL = r'^<([^>]+)> <([^>]+)> "(.+)"(?:\^\^.*|@en.*)? \.\s*$'
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_iri(iri: pd.Series) -> pd.Series:
     """Percent-decoding that leaves '+' alone, which url_decode doesn't."""
     return iri.map(lambda s: unquote(s) if s is not None and "%" in s else s)
