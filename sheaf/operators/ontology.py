@@ -165,7 +165,7 @@ def merge_listing_types(found: DataFrame, known: DataFrame, disjoint: DataFrame)
                 blocked.update(against[t].split("\n") if against[t] is not None else ())
         bad = set(fresh.loc[fresh["type"].isin(blocked), "origin"])
         types = sorted(set(fresh.loc[~fresh["origin"].isin(bad), "type"]))
-        return pd.DataFrame({"ent": [pdf["ent"].iloc[0]] * len(types), "type": types})
+        return pd.DataFrame([(pdf["ent"].iloc[0], t) for t in types], columns=["ent", "type"], dtype=object)
 
     columns = ["ent", "origin", "type", "n", "against", "is_known"]
     fresh = rows.select("ent", F.col("origin").cast("string").alias("origin"), "type", F.col("n").cast("bigint").alias("n"), "against", "is_known")
