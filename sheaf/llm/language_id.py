@@ -126,7 +126,7 @@ class LanguageModel:
         at = head + np.arange(len(head)) - np.repeat(np.cumsum(counts) - counts, counts)
         codes = kept[at].astype(np.int32 if self.symbols**self.order < 2**31 else np.int64)
         for n in range(1, self.order):  # what lies before the text's start counts as gaps
-            codes += np.where(at - n >= head, kept[at - n], GAP).astype(codes.dtype) * self.symbols**n
+            codes += np.where(at - n >= head, kept[np.maximum(at - n, 0)], GAP).astype(codes.dtype) * self.symbols**n
         return codes, counts
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
