@@ -158,22 +158,16 @@ def _date(s: str, f: Feistel, back: bool) -> str | None:
         x = day.toordinal() - _FIRST_DAY
         if not 0 <= x < _DAYS:
             return None
-        # a day-first date must come out as one that is read day first again, and a month-first one likewise
-        while True:
+        wide = [len(p) for p in parts]
+        while True:  # until the new date fits the shape: read in the same order, one-digit parts below 10
             x = f.permute(x, _DAYS, "date", back)
             new = date.min + timedelta(days=x + _FIRST_DAY - 1)
-            if len(orders) == 1 or order == orders[0] or new.day > 12:
-                break
-        values = dict(zip(order, (new.year, new.month, new.day), strict=True))
-        return sep.join(f"{values[i]:04d}" if len(parts[i]) == 4 else f"{values[i]:02d}" if len(parts[i]) == 2 and padded(parts) else str(values[i]) for i in range(3))
+            value = dict(zip(order, (new.year, new.month, new.day), strict=True))
+            if (order == orders[0] or new.day > 12) and all(wide[i] > 1 or value[i] < 10 for i in range(3)):
+                return sep.join(str(value[i]).zfill(wide[i]) for i in range(3))
     return None
 
 
-def padded(parts: list[str]) -> bool:
-    """Whether day and month are written with two digits."""
-    return all(len(p) in (2, 4) for p in parts)
-
-
 _BY_KIND: dict[str, Callable[[str, Feistel, bool], str | None]] = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
 
 
