@@ -103,8 +103,8 @@ def decode(tagged: DataFrame) -> DataFrame:
 
     first, stop = _first_run("flags")
     spans = tagged.withColumn("flags", F.transform("tags", lambda t: (t > 0).cast("int"))).withColumn("start", first).withColumn("stop", stop).where("start >= 0")
-    out = spans.select("page", "listing", "item", "start", "stop", F.element_at("tags", F.col("start") + 1).alias("tag"), "tokens")
-    out = out.withColumn("label", F.array_join(F.slice("tokens", F.col("start") + 1, F.col("stop") - F.col("start")), " ")).drop("tokens")
+    out = spans.select("page", "listing", "item", "start", "stop", F.get("tags", F.col("start")).alias("tag"), "tokens")
+    out = out.withColumn("label", F.array_join(F.slice("tokens", F.greatest(F.col("start") + 1, F.lit(1)), F.greatest(F.col("stop") - F.col("start"), F.lit(0))), " ")).drop("tokens")
     return out.where(valid_label(F.col("label")))
 
 

@@ -51,7 +51,7 @@ def literal_line(sub: Column, pred: Column, obj: Column, kind: str = "string") -
 
 def write_lines(lines: DataFrame, path: str, compression: str = "bzip2") -> None:
     """One text folder of lines."""
-    lines.select(F.col(lines.columns[0]).alias("value")).write.mode("overwrite").option("compression", compression).text(path)
+    lines.toDF("value").write.mode("overwrite").option("compression", compression).text(path)
 
 
 def metadata_lines(graph: str, entities: DataFrame, classes: DataFrame, predicates: DataFrame, name: str, day: str) -> DataFrame:
