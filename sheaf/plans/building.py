@@ -238,14 +238,14 @@ def frequent_labels(spark, sf_dir):
 
 
 _WEAK = """m AS (SELECT l_suppkey AS page, l_returnflag AS listing, l_orderkey AS item, l_partkey AS ent, l_linenumber AS start FROM lineitem),
-fl AS (SELECT *, CASE WHEN ent % 5 = page % 5 THEN 1 ELSE 0 END AS pos, CASE WHEN ent % 5 = (page + 1) % 5 THEN 1 ELSE 0 END AS neg FROM m),
+fl AS (SELECT m.*, CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END AS pos, CASE WHEN p_size < 15 THEN 1 ELSE 0 END AS neg FROM m JOIN part ON ent = p_partkey),
 k AS (SELECT *, max(pos) OVER (PARTITION BY page, listing, item) AS has, min(greatest(pos, neg)) OVER (PARTITION BY page, listing, item) AS al, sum(pos) OVER (PARTITION BY page, listing) AS n FROM fl)"""
 
 
 def _weak(spark, sf_dir):
     m = V.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), F.col("l_returnflag").alias("listing"), F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("ent"), F.col("l_linenumber").alias("start"))
-    seen = m.select("page", "ent").distinct()
-    return m, N.weak_labels(m, seen.where("ent % 5 = page % 5"), seen.where("ent % 5 = (page + 1) % 5"))
+    seen = m.select("page", "ent").distinct().join(V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ent"), "p_type", "p_size"), "ent")
+    return m, N.weak_labels(m, seen.where("p_type = 'PROMO'").select("page", "ent"), seen.where("p_size < 15").select("page", "ent"))
 
 
 @query("weak_labels", f"WITH {_WEAK} SELECT page, listing, item, ent, pos AS label FROM k WHERE (n = 0 OR n > 2) AND (has = 1 OR al = 1)")
@@ -321,7 +321,9 @@ def list_category_mapping(spark, sf_dir):
     names = V.table(spark, sf_dir, "part").select("p_name").distinct()
     lists = names.select(F.concat(F.lit("list of "), "p_name").alias("id"), F.upper(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("label"))
     cats = names.select(F.col("p_name").alias("id"), F.col("p_name").alias("label"))
-    return O.list_categories(lists, lists.select(F.col("id").alias("list")).crossJoin(F.broadcast(cats.select(F.col("id").alias("cat")).limit(1))), cats, spark.createDataFrame([], "a string, b string"))
+    last = lambda c: F.element_at(F.split(c, " "), -1)
+    candidates = lists.select(F.col("id").alias("list"), last("id").alias("k")).join(cats.select(F.col("id").alias("cat"), last("id").alias("k")), "k").select("list", "cat")
+    return O.list_categories(lists, candidates, cats, spark.createDataFrame([], "a string, b string"))
 
 
 @query("graph_merge", oracle("SELECT DISTINCT parent, child FROM kg_subclass UNION SELECT DISTINCT 'Product', p_name FROM part", "kg_subclass"))

@@ -96,18 +96,20 @@ def entity_props(spark, sf_dir):
     return T.properties(V.triples(spark, sf_dir), known)
 
 
-@query("surface_ref_freq", """WITH n AS (SELECT lower(split_part(p_name, ' ', 1)) AS form, CASE WHEN l_partkey % 7 = 0 THEN l_partkey - l_partkey % 14 ELSE l_partkey END AS ent FROM lineitem JOIN part ON l_partkey = p_partkey),
-g AS (SELECT form, ent, count(*) AS n FROM n WHERE ent > 0 GROUP BY ALL) SELECT form, ent, round(n / sum(n) OVER (PARTITION BY form), 6) AS freq FROM g""")
+@query("surface_ref_freq", """WITH r AS (SELECT p_partkey AS src, min(p_partkey) OVER (PARTITION BY p_name) AS dst, p_size FROM part),
+n AS (SELECT lower(split_part(p_name, ' ', 1)) AS form, CASE WHEN r.p_size < 8 THEN r.dst ELSE l_partkey END AS ent FROM lineitem JOIN part ON l_partkey = p_partkey JOIN r ON r.src = l_partkey),
+g AS (SELECT form, ent, count(*) AS n FROM n GROUP BY ALL) SELECT form, ent, round(n / sum(n) OVER (PARTITION BY form), 6) AS freq FROM g""")
 def surface_ref_freq(spark, sf_dir):
-    part = V.table(spark, sf_dir, "part")
+    """Small parts are redirects to the first part of their name."""
+    from pyspark.sql import Window
+
+    part = V.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     counts = (
-        V.table(spark, sf_dir, "lineitem").select("l_partkey").join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+        V.table(spark, sf_dir, "lineitem").select("l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(F.lower(F.split("p_name", " ")[0]).alias("form"), F.col("l_partkey").alias("ent")).groupBy("form", "ent").agg(F.count(F.lit(1)).alias("n"))
     )
-    keys = part.select(F.col("p_partkey").alias("ent"))
-    redirects = keys.where("ent % 7 = 0").select(F.col("ent").alias("src"), (F.col("ent") - F.col("ent") % 14).alias("dst"))
-    entities = keys.unionByName(redirects.select(F.col("dst").alias("ent"))).where("ent > 0").distinct()
-    return T.references(counts, redirects, entities).withColumn("freq", F.round("freq", 6))
+    redirects = part.select(F.col("p_partkey").alias("src"), F.min("p_partkey").over(Window.partitionBy("p_name")).alias("dst"), "p_size").where("p_size < 8").select("src", "dst")
+    return T.references(counts, redirects, part.select(F.col("p_partkey").alias("ent"))).withColumn("freq", F.round("freq", 6))
 
 
 @query("redirect_fold", "SELECT p_partkey, CASE WHEN levenshtein(p_name, p_brand || '') <= 12 THEN p_brand ELSE p_name END AS name FROM part")

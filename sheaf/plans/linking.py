@@ -82,11 +82,11 @@ def valid_labels(spark, sf_dir):
     return V.table(spark, sf_dir, "part").select("p_partkey", X.valid_label(F.col("p_brand")).alias("valid"))
 
 
-@query("same_words", "SELECT a.n_nationkey, a.n_name = b.n_name AS same FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey - a.n_nationkey % 2")
+@query("same_words", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, a.n_name = b.n_name AS same FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
 def same_words(spark, sf_dir):
     n = V.table(spark, sf_dir, "nation")
-    other = n.select(F.col("n_nationkey").alias("k"), F.concat(F.col("n_name"), F.lit(" x")).alias("b"))
-    return n.join(other, F.col("k") == F.col("n_nationkey") - F.col("n_nationkey") % 2).select("n_nationkey", X.same_words(F.concat(F.lit("X "), F.col("n_name")), F.col("b")).alias("same"))
+    left, right = (n.select(F.col("n_nationkey").alias(x), F.col("n_name").alias(f"{x}_name"), "n_regionkey") for x in "ab")
+    return left.join(right, "n_regionkey").select("a", "b", X.same_words(F.concat(F.lit("X "), "a_name"), F.concat(F.col("b_name"), F.lit(" x"))).alias("same"))
 
 
 @query("lexhead", "SELECT p_partkey, split_part(p_name, ' ', -1) AS head, split_part(p_name, ' ', 1) AS rest, false AS plural FROM part")
@@ -191,8 +191,9 @@ def components(spark, sf_dir):
 
 def _cluster_input(spark, sf_dir):
     mm = _pairs(spark, sf_dir)
-    me = mm.where("dst % 5 = 0").select("src", F.col("dst"), "score")
-    return mm, me, vectors(spark, sf_dir).select("id")
+    v = vectors(spark, sf_dir)
+    first = v.groupBy("label").agg(F.min("id").alias("dst")).select("dst")  # the first vector of each label stands for an entity
+    return mm, mm.select("dst", "src", "score").join(first, "dst", "left_semi").select("src", "dst", "score"), v.select("id")
 
 
 @query("cluster_nasty")
@@ -210,10 +211,10 @@ def cluster_bottom_up(spark, sf_dir):
     return C.bottom_up(*_cluster_input(spark, sf_dir), 0.4, 0.45)
 
 
-@query("cluster_ids", "WITH g AS (SELECT n_regionkey AS c, min(n_nationkey) AS least FROM nation GROUP BY n_regionkey), r AS (SELECT c, row_number() OVER (ORDER BY least) - 1 + 1000 AS idx FROM g WHERE c % 2 = 1) SELECT n_nationkey AS mention, CASE WHEN n_regionkey % 2 = 0 THEN n_regionkey ELSE r.idx END AS idx FROM nation LEFT JOIN r ON r.c = n_regionkey")
+@query("cluster_ids", "WITH g AS (SELECT n_regionkey AS c, min(n_nationkey) AS least FROM nation GROUP BY n_regionkey), r AS (SELECT c, row_number() OVER (ORDER BY least) - 1 + 1000 AS idx FROM g WHERE c >= 3) SELECT n_nationkey AS mention, CASE WHEN n_regionkey < 3 THEN n_regionkey ELSE r.idx END AS idx FROM nation LEFT JOIN r ON r.c = n_regionkey")
 def cluster_ids(spark, sf_dir):
     n = V.table(spark, sf_dir, "nation")
-    rows = n.select(F.col("n_nationkey").cast("bigint").alias("mention"), F.col("n_regionkey").cast("string").alias("cluster"), F.when(F.col("n_regionkey") % 2 == 0, F.col("n_regionkey").cast("bigint")).alias("entity"))
+    rows = n.select(F.col("n_nationkey").cast("bigint").alias("mention"), F.col("n_regionkey").cast("string").alias("cluster"), F.when(F.col("n_regionkey") < 3, F.col("n_regionkey").cast("bigint")).alias("entity"))
     return C.cluster_ids(rows, 1000)
 
 
@@ -243,11 +244,11 @@ def ordered_candidates(spark, sf_dir):
     return L.ordered_pairs(line, "at")
 
 
-@query("nil_consistent", "SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey % 3 <> 0 AND l_suppkey % 3 <> 0")
+@query("nil_consistent", "WITH k AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F') SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_orderkey NOT IN (SELECT id FROM k) AND o_custkey NOT IN (SELECT id FROM k)")
 def nil_consistent(spark, sf_dir):
-    pairs = V.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    known = pairs.select(F.explode(F.array("src", "dst")).alias("id")).where("id % 3 = 0").distinct()
-    return L.nil_consistent(pairs, known, True).select("src", "dst")
+    orders = V.table(spark, sf_dir, "orders")
+    pairs = orders.select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
+    return L.nil_consistent(pairs, orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")), True).select("src", "dst")
 
 
 @query("training_pairs", f"""WITH {_KNN}, al AS (SELECT vec_id AS mention, label AS entity FROM embeddings)
@@ -271,14 +272,14 @@ def mention_inputs(spark, sf_dir):
 
 
 @query("entity_inputs", """WITH f AS (SELECT s_suppkey AS id, list_sort(list_distinct([concat_ws(' ', 'inNation', n_name), concat_ws(' ', 'balance', CASE WHEN s_acctbal > 0 THEN 'positive' ELSE 'negative' END)])) AS l FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-SELECT s_suppkey AS id, concat_ws(' [SEP] ', s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'abstract of ' || s_name END, array_to_string(l, ', ')) AS text FROM supplier JOIN f ON f.id = s_suppkey""")
+SELECT s_suppkey AS id, concat_ws(' [SEP] ', s_name, CASE WHEN s_acctbal > 5000 THEN 'abstract of ' || s_name END, array_to_string(l, ', ')) AS text FROM supplier JOIN f ON f.id = s_suppkey""")
 def entity_inputs(spark, sf_dir):
     s = V.table(spark, sf_dir, "supplier")
     n = V.table(spark, sf_dir, "nation")
     facts = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.lit("inNation").alias("pred"), F.col("n_name").alias("value")).unionByName(
         s.select(F.col("s_suppkey").alias("id"), F.lit("balance").alias("pred"), F.when(F.col("s_acctbal") > 0, "positive").otherwise("negative").alias("value"))
     )
-    abstracts = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("abstract of "), "s_name").alias("abstract"))
+    abstracts = s.where("s_acctbal > 5000").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("abstract of "), "s_name").alias("abstract"))
     return L.entity_input(s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label")), abstracts, facts)
 
 
@@ -338,3 +339,47 @@ def span_metrics(spark, sf_dir):
     tags = F.transform(F.split("text", " "), lambda w: F.when(w.rlike("^[A-Z]"), 1).otherwise(0))
     shifted = F.transform(tags, lambda t, i: F.when((i % 7 == 3), 0).otherwise(t))
     return M.span_scores(docs.select(shifted.alias("pred"), tags.alias("gold")))
+
+
+def _alignment(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return v.select(F.col("id").alias("mention"), F.col("label").cast("bigint").alias("entity"), (F.col("label") < 6).alias("is_known"))
+
+
+_PARTS = "al AS (SELECT vec_id AS mention, CAST(label AS BIGINT) AS entity, label < 6 AS is_known FROM embeddings), parted AS (SELECT 'all' AS part, mention, entity FROM al UNION ALL SELECT CASE WHEN is_known THEN 'known' ELSE 'unknown' END, mention, entity FROM al)"
+
+
+@query("evaluation_counts", f"WITH {_PARTS}, g AS (SELECT part, entity, count(*) AS n FROM parted GROUP BY part, entity) SELECT part, CAST(sum(n) AS BIGINT) AS mentions, count(*) AS entities, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS pairs FROM g GROUP BY part")
+def evaluation_counts(spark, sf_dir):
+    from sheaf.operators import evaluation as E
+
+    return E.counts(_alignment(spark, sf_dir))
+
+
+@query("evaluation_parts", f"""WITH {_KNN}, {_PARTS}, p AS (SELECT DISTINCT k.src, CAST(e.label AS BIGINT) AS dst FROM knn k JOIN embeddings e ON e.vec_id = k.dst),
+m AS (SELECT x.part, count(*) AS predicted, count(*) FILTER (WHERE p.dst = x.entity) AS correct FROM p JOIN parted x ON x.mention = p.src GROUP BY x.part), a AS (SELECT part, count(*) AS actual FROM parted GROUP BY part)
+SELECT a.part, predicted, actual, correct, round(correct / predicted, 6) AS precision, round(correct / actual, 6) AS recall, round(2 * (correct / predicted) * (correct / actual) / (correct / predicted + correct / actual), 6) AS f1 FROM a JOIN m ON m.part = a.part""")
+def evaluation_parts(spark, sf_dir):
+    from sheaf.operators import evaluation as E
+
+    v = vectors(spark, sf_dir)
+    near = L.nearest(v.select("id", "vector"), v.select("id", "vector"), 4)
+    named = near.join(v.select(F.col("id").alias("dst"), F.col("label").cast("bigint").alias("entity")), "dst").select("src", F.col("entity").alias("dst"))
+    scores = E.mention_scores(named, _alignment(spark, sf_dir))
+    return scores.select("part", "predicted", "actual", "correct", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("grid_search")
+def grid_search(spark, sf_dir):
+    from sheaf.operators import evaluation as E
+
+    mm, me, _ = _cluster_input(spark, sf_dir)
+    out = E.grid_search(mm, me, _alignment(spark, sf_dir), "majority", {"mm_least": [0.4, 0.5], "share": [0.3]})
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query("disambiguated", f"WITH {_MENTIONS} SELECT m.id AS mention, e.id AS idx FROM mentions m JOIN entities e ON m.label = e.label")
+def disambiguated(spark, sf_dir):
+    from sheaf.operators import evaluation as E
+
+    return E.disambiguate(mentions(spark, sf_dir).select("id", "label").distinct(), entities(spark, sf_dir), "exact", "majority", mm_least=2.0, me_least=0.5)

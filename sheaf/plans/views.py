@@ -96,10 +96,10 @@ def part_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sub, pred, obj): supplier 'supplies' part, both ways of some known ones, a part of them held out by key."""
-    line = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    supplies = line.where("(l_suppkey + l_partkey) % 4 <> 0").select(F.col("l_suppkey").alias("sub"), F.lit("supplies").alias("pred"), F.col("l_partkey").alias("obj"))
-    stocked = line.where("(l_suppkey + l_partkey) % 3 = 0").select(F.col("l_partkey").alias("sub"), F.lit("stockedBy").alias("pred"), F.col("l_suppkey").alias("obj"))
+    """(sub, pred, obj): suppliers 'supply' parts of finished lines, and parts are 'stockedBy' suppliers of accepted ones; those of other lines aren't known yet."""
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_linestatus", "l_returnflag")
+    supplies = line.where("l_linestatus = 'F'").select(F.col("l_suppkey").alias("sub"), F.lit("supplies").alias("pred"), F.col("l_partkey").alias("obj")).distinct()
+    stocked = line.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("sub"), F.lit("stockedBy").alias("pred"), F.col("l_suppkey").alias("obj")).distinct()
     return supplies.unionByName(stocked)
 
 
@@ -150,8 +150,8 @@ FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_
     "part_types": """
 SELECT p_partkey AS E, 'Product' AS type FROM part UNION ALL SELECT p_partkey, p_type FROM part UNION ALL SELECT p_partkey, p_type || '/' || p_brand FROM part""",
     "kg_relations": """
-SELECT DISTINCT l_suppkey AS sub, 'supplies' AS pred, l_partkey AS obj FROM lineitem WHERE (l_suppkey + l_partkey) % 4 <> 0
-UNION ALL SELECT DISTINCT l_partkey, 'stockedBy', l_suppkey FROM lineitem WHERE (l_suppkey + l_partkey) % 3 = 0""",
+SELECT DISTINCT l_suppkey AS sub, 'supplies' AS pred, l_partkey AS obj FROM lineitem WHERE l_linestatus = 'F'
+UNION ALL SELECT DISTINCT l_partkey, 'stockedBy', l_suppkey FROM lineitem WHERE l_returnflag = 'A'""",
     "kg_categories": """
 SELECT DISTINCT cat, ent FROM (
   SELECT split_part(p_name, ' ', -1) AS cat, 'P' || CAST(p_partkey AS VARCHAR) AS ent FROM part
