@@ -68,7 +68,7 @@ def disambiguate(mentions: DataFrame, entities: DataFrame, matcher: str = "bm25"
     Matchers of labels work on distinct labels, each standing for its mentions, so frequent labels make no pairs among themselves.
     """
     lexical = matcher != "vectors"
-    own = mentions.groupBy("label").agg(F.min("id").alias("id")) if lexical else mentions
+    own = mentions.select("label").distinct().withColumn("id", F.expr("xxhash64(label) & 9223372036854775807")) if lexical else mentions
     own = materialize(own, "mentions")
     mm = materialize(MATCHERS["word" if matcher == "bm25" else matcher](own, None), "mm")
     me = MATCHERS[matcher](own, entities)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.session import discard, materialize
+from sheaf.session import discard, materialize, materialize_measured
 
 
 def closure(edges: DataFrame, with_self: bool = False, max_rounds: int = 64) -> DataFrame:
@@ -15,16 +15,13 @@ def closure(edges: DataFrame, with_self: bool = False, max_rounds: int = 64) ->
     logarithm of the height. Null ends are dropped; ``with_self`` adds every node at depth 0.
     """
     base = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).where("ancestor IS NOT NULL AND descendant IS NOT NULL").distinct().withColumn("depth", F.lit(1))
-    def measure(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum("depth")).first())
-
-    current = materialize(base, "closure")
-    size = measure(current)
+    measures = {"n": F.count(F.lit(1)), "steps": F.sum("depth")}
+    current, size = materialize_measured(base, "closure", **measures)
     for _ in range(max_rounds):
         right = current.select(F.col("ancestor").alias("mid"), F.col("descendant").alias("to"), F.col("depth").alias("more"))
         longer = current.join(right, F.col("descendant") == F.col("mid")).select("ancestor", F.col("to").alias("descendant"), (F.col("depth") + F.col("more")).alias("depth"))
-        following = materialize(current.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")), "closure")
-        before, size = size, measure(following)
+        before = size
+        following, size = materialize_measured(current.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")), "closure", **measures)
         discard(current)
         current = following
         if before == size:
@@ -47,19 +44,17 @@ def depths(edges: DataFrame, root: str) -> DataFrame:
 def levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(node, level): longest path from a node without parents; a top-down order. Edges must have no cycle."""
     nodes = edges.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
-    current = materialize(nodes.withColumn("level", F.lit(0)), "levels")
-    total = 0
+    current, seen = materialize_measured(nodes.withColumn("level", F.lit(0)), "levels", total=F.sum("level"))
     for _ in range(max_rounds):
         raised = edges.join(current, F.col("parent") == F.col("node")).groupBy("child").agg((F.max("level") + 1).alias("new"))
-        following = materialize(
-            current.join(raised, F.col("node") == F.col("child"), "left").select("node", F.greatest("level", F.coalesce("new", F.lit(0))).alias("level")), "levels"
+        before = seen
+        following, seen = materialize_measured(
+            current.join(raised, F.col("node") == F.col("child"), "left").select("node", F.greatest("level", F.coalesce("new", F.lit(0))).alias("level")), "levels", total=F.sum("level")
         )
-        now = following.agg(F.sum("level")).first()[0] or 0
         discard(current)
         current = following
-        if now == total:
+        if seen == before:
             return current
-        total = now
     raise ValueError("the hierarchy has a cycle")
 
 

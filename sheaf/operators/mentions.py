@@ -86,7 +86,9 @@ def tag(items: DataFrame, tagger: Callable | None = None) -> DataFrame:
     caps = F.transform("tokens", lambda t: t.rlike(r"^\p{Lu}").cast("int"))
     first, stop = _first_run("caps")
     runs = items.withColumn("caps", caps).withColumn("first", first).withColumn("stop", stop)
-    return runs.withColumn("tags", F.transform("tokens", lambda t, i: ((i >= F.col("first")) & (i < F.col("stop"))).cast("int"))).drop("caps", "first", "stop")
+    n, lead, run = F.size("tokens"), F.greatest("first", F.lit(0)), F.col("stop") - F.greatest("first", F.lit(0))
+    tags = F.concat(F.array_repeat(F.lit(0), lead), F.array_repeat(F.lit(1), run), F.array_repeat(F.lit(0), n - lead - run))
+    return runs.withColumn("tags", tags).drop("caps", "first", "stop")
 
 
 def _first_run(flags: str) -> tuple:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def session(app: str = "sheaf", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,6 +45,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """:func:`materialize`, and aggregates of the rows taken while they are written, so that loops need no job of their own to see whether they are done."""
+    seen = Observation()
+    table = materialize(df.observe(seen, *[c.alias(k) for k, c in measures.items()]), name)
+    return table, seen.get
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table that :func:`materialize` returned; only for tables nothing will read again."""
     spark = df.sparkSession
