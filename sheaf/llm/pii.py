@@ -30,12 +30,14 @@ _EMAIL = re.compile(r"(?<![\w.%+\-])([A-Za-z0-9][A-Za-z0-9._%+\-]{0,63})@((?:[A-
 _NUMBER = re.compile(
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\w))"
-    r"|(?P<date>(?<![\w./\-])(?:\d{4}(?P<s1>[\-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[\-/.])\d{1,2}(?P=s2)\d{4})(?![\w/\-]|\.\d))"
+    r"|(?P<date>(?<![\w./\-])(?:\d{4}(?P<s1>[\-/.])\d{1,2}(?P=s1)\d{1,2}(?=T\d\d|(?![\w/\-]|\.\d))|\d{1,2}(?P<s2>[\-/.])\d{1,2}(?P=s2)\d{4}(?![\w/\-]|\.\d)))"
     r"|(?P<ssn>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))"
     r"|(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\w))"
     r"|(?P<card>(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?!\w|[.\-]\d))"
 )
 _MAYBE = re.compile(r"[0-9]")
+#: Most digits of a phone number, country code included, by the digits that stay; 15 for the rest.
+_PHONE_DIGITS = {"1": 11, "7": 11, "20": 12, "27": 11, "31": 11, "32": 11, "33": 11, "34": 11, "41": 11, "44": 12, "45": 10, "47": 10, "48": 11, "52": 12, "61": 11, "65": 10, "81": 12, "86": 13, "91": 12}
 
 
 class Feistel:
@@ -171,18 +173,48 @@ def _date(s: str, f: Feistel, back: bool) -> str | None:
 _BY_KIND: dict[str, Callable[[str, Feistel, bool], str | None]] = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
 
 
+def _ends(m: re.Match) -> list[int]:
+    """Where a match may end at a whole group of digits or letters, the longest first."""
+    return [e for e in range(m.end(), m.start() + 7, -1) if m.string[e - 1].isalnum() and (e == m.end() or not m.string[e].isalnum())]
+
+
+def _phone_end(m: re.Match, f: Feistel, back: bool) -> int | None:
+    """Where the phone of a match ends: not across a value of another kind, and not beyond the digits that its country code allows."""
+    s, at = m.string, m.start()
+    fine = [e for e in _ends(m) if _phone(s[at:e], f, back) is not None]
+    for i in range(at + 1, m.end()):
+        if s[i].isdigit() and not s[i - 1].isalnum() and (o := _NUMBER.match(s, i)):
+            strong = o["card"] is None and _BY_KIND[o.lastgroup if o.lastgroup in _BY_KIND else "date"](o[0], f, back) is not None
+            weak = o["card"] is not None and any(_card(s[i:e], f, back) is not None for e in _ends(o)) and any(e <= i for e in fine)
+            if strong or weak:
+                fine = [e for e in fine if e <= i]
+                break
+    digits = lambda e: re.sub(r"\D", "", s[at:e])
+    most = lambda d: _PHONE_DIGITS.get(d[0] if d[0] in "17" else d[:2], 15)
+    return next((e for e in fine if len(digits(e)) <= most(digits(e))), fine[-1] if fine else None)
+
+
+def _numbers(text: str, f: Feistel, back: bool, counts: dict[str, int]) -> str:
+    """``text`` with its values other than e-mail addresses replaced. What doesn't validate is tried shorter, then from inside."""
+    out, done, at = [], 0, 0
+    while m := _NUMBER.search(text, at):
+        kind = next(k for k in _BY_KIND if m[k] is not None)
+        ends = [_phone_end(m, f, back)] if kind == "phone" else _ends(m) if kind in ("card", "iban") else [m.end()]
+        for end in ends:
+            if end is not None and (new := _BY_KIND[kind](text[m.start() : end], f, back)) is not None:
+                counts[kind] = counts.get(kind, 0) + 1
+                out += [text[done : m.start()], new]
+                done = at = end
+                break
+        else:
+            at = m.start() + 1
+    return "".join([*out, text[done:]])
+
+
 def pseudonymise(text: str, f: Feistel, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with every validated value replaced, and how many of each kind there were; ``back`` undoes it."""
     counts: dict[str, int] = {}
 
-    def number(m: re.Match) -> str:
-        kind = next(k for k in _BY_KIND if m[k] is not None)
-        new = _BY_KIND[kind](m[0], f, back)
-        if new is None:
-            return m[0]
-        counts[kind] = counts.get(kind, 0) + 1
-        return new
-
     def email(m: re.Match) -> str:
         counts["email"] = counts.get("email", 0) + 1
         return _mixed(m[1], f, "email", back) + "@" + m[2]
@@ -190,12 +222,12 @@ def pseudonymise(text: str, f: Feistel, back: bool = False) -> tuple[str, dict[s
     if not _MAYBE.search(text) and "@" not in text:
         return text, counts
     if "@" not in text:
-        return _NUMBER.sub(number, text), counts
+        return _numbers(text, f, back, counts), counts
     out, at = [], 0  # what lies between e-mail addresses is searched for numbers
     for m in _EMAIL.finditer(text):
-        out += [_NUMBER.sub(number, text[at : m.start()]), email(m)]
+        out += [_numbers(text[at : m.start()], f, back, counts), email(m)]
         at = m.end()
-    return "".join([*out, _NUMBER.sub(number, text[at:])]), counts
+    return "".join([*out, _numbers(text[at:], f, back, counts)]), counts
 
 
 def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
