@@ -20,11 +20,14 @@ from sheaf.llm.words import mix, slices
 
 ORDER = 4
 OTHER, GAP = 0, 1
-#: Most symbols of the alphabet: the commonest letters of the training texts, other letters, and gaps.
-SYMBOLS = 64
-#: Labelled texts fitted per language (this bound is the only sample taken) and the part of them held out for calibration.
+#: Symbols whose 4-grams still are numbers of 63 bits; every letter of the training texts has its own below that (55,000 letters).
+SYMBOLS = 55_000
+#: Labelled texts fitted per language (with the two bounds below this is the only sample taken) and the part of them held out for calibration.
 SAMPLE_PER_LANGUAGE = 400
 HELD_OUT = 0.25
+#: Longest labelled text, in characters, that is fitted, and most languages, those with most labelled texts.
+SAMPLE_CHARS = 200_000
+MOST_LANGUAGES = 500
 #: Standard deviations above a language's mean cross-entropy at which a document is rejected.
 REJECT_SDS = 6.0
 #: Least spread (bits squared) a language is taken to have between texts of any length, so that odd but clean texts stay.
@@ -98,12 +101,6 @@ class LanguageModel:
     symbols: int
     order: int = ORDER
 
-    def __post_init__(self) -> None:
-        self._memo: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_memo": None}
-
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Packed n-grams of all texts and how many each text has. Runs of non-letters are one gap; each text starts after gaps."""
         texts = [t or "" for t in texts]
@@ -124,23 +121,19 @@ class LanguageModel:
         counts = last - first
         head = np.repeat(first, counts)
         at = head + np.arange(len(head)) - np.repeat(np.cumsum(counts) - counts, counts)
-        codes = kept[at].astype(np.int32 if self.symbols**self.order < 2**31 else np.int64)
+        codes = kept[at].astype(np.int64)
         for n in range(1, self.order):  # what lies before the text's start counts as gaps
-            codes += np.where(at - n >= head, kept[np.maximum(at - n, 0)], GAP).astype(codes.dtype) * self.symbols**n
+            codes += np.where(at - n >= head, kept[np.maximum(at - n, 0)], GAP).astype(np.int64) * self.symbols**n
         return codes, counts
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy per language and text (inf for a text without letters), symbols and letters per text."""
         codes, sizes = self.encode(texts)
-        if self._memo is None:
-            self._memo = np.full((self.symbols**self.order, len(self.models)), np.nan, np.float32)
-        fresh = np.unique(codes[np.isnan(self._memo[codes, 0])])
-        if len(fresh):
-            self._memo[fresh] = np.stack([m.logs(fresh.astype(np.int64)) for m in self.models], 1)
+        distinct, where = np.unique(codes, return_inverse=True)
         edges = np.concatenate([[0], np.cumsum(sizes)])
         out = np.full((len(sizes), len(self.models)), np.inf)
-        for k in range(len(self.models)):
-            sums = np.concatenate([[0.0], np.cumsum(self._memo[codes, k].astype(np.float64))])
+        for k, model in enumerate(self.models):  # one language at a time, so memory doesn't grow with their number
+            sums = np.concatenate([[0.0], np.cumsum(model.logs(distinct)[where])])
             with np.errstate(invalid="ignore", divide="ignore"):
                 out[:, k] = np.where(sizes > 0, (sums[edges[1:]] - sums[edges[:-1]]) / sizes, np.inf)
         marks = np.concatenate([[0], np.cumsum(codes % self.symbols != GAP)])
@@ -151,6 +144,8 @@ class LanguageModel:
     def identify(self, texts: list[str | None], sds: float = REJECT_SDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(language number, cross-entropy, symbols, accepted) of each text; ties go to the first language by name."""
         scores, sizes, letters = self.entropies(texts)
+        if not self.models:
+            return np.zeros(len(sizes), np.int64), np.full(len(sizes), np.inf), sizes, np.zeros(len(sizes), bool)
         best = np.argmin(scores, 1)
         value = scores[np.arange(len(best)), best]
         mean, floor, per = self.limits[best].T
@@ -159,15 +154,12 @@ class LanguageModel:
 
 
 def fit(samples: dict[str, list[str]], held_out: float = HELD_OUT) -> LanguageModel:
-    """Train on texts per language; the last ``held_out`` of each list calibrates the rejection."""
+    """Train on texts per language; the last ``held_out`` of each list calibrates the rejection. Without any text the model accepts nothing."""
     languages = sorted(samples)
-    if not languages:
-        raise ValueError("no labelled text to fit languages on")
-    points = np.concatenate([_points("".join(samples[k])) for k in languages])
-    seen, counts = np.unique(points, return_counts=True)
+    seen, counts = np.unique(np.concatenate([_points("".join(samples[k])) for k in languages] or [np.zeros(0, np.uint32)]), return_counts=True)
     letters = [(c, p) for p, c in zip(seen.tolist(), counts.tolist(), strict=True) if chr(p).isalpha()]
     letters.sort(key=lambda x: (-x[0], x[1]))
-    alphabet = np.full(0x110000, OTHER, np.uint8)
+    alphabet = np.full(0x110000, OTHER, np.uint16)
     alphabet[[i for i in range(0x110000) if not chr(i).isalpha()]] = GAP
     letters = letters[: SYMBOLS - 2]
     for code, (_, point) in enumerate(letters, 2):
@@ -200,10 +192,16 @@ def fit(samples: dict[str, list[str]], held_out: float = HELD_OUT) -> LanguageMo
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Fit on at most ``per_language`` labelled documents of each language, those of the least hashed doc_id; whole texts."""
-    labelled = docs.select("doc_id", "lang", "text").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    """Fit on at most ``per_language`` labelled documents of each language, those of the least hashed doc_id; whole texts of up to SAMPLE_CHARS characters.
+
+    Rows with a null doc_id, lang or text and empty texts are left out, equal rows count once; where nothing is labelled the model rejects every text.
+    """
+    labelled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    labelled = labelled.where(f"doc_id IS NOT NULL AND lang IS NOT NULL AND text <> '' AND length(text) <= {SAMPLE_CHARS}")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.select("doc_id", "lang").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language)
+    frequent = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select(F.col("lang").alias("__lang"))
+    chosen = chosen.join(F.broadcast(frequent), F.col("lang") == F.col("__lang"), "left_semi")
     ids = [r["doc_id"] for r in chosen.select("doc_id").distinct().collect()]  # per_language a language at most
     picked = docs.sparkSession.createDataFrame([(i,) for i in ids], "__id bigint") if ids else None
     samples: dict[str, list[str]] = {}
@@ -218,7 +216,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang, cross_entropy, n_symbols, accepted), one row for each row of ``docs``.
 
     lang is null and accepted false for a rejected document: one without letters (null and empty texts too; cross_entropy
-    is null then) or one that no model fits. Repeated rows are answered each; other columns don't matter; an empty table gives none.
+    is null then) or one that no model fits. Very long texts are scored whole, as a slice of their own; repeated rows are answered
+    each; ties go to the first language by name; other columns don't matter; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -239,7 +238,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs`` that some language model accepts, all columns unchanged."""
+    """The rows of ``docs`` that some language model accepts, all columns unchanged.
+
+    Null, empty and letterless texts go; rows with a null doc_id are judged by their text; repeated rows stay or go together; very
+    long texts are scored whole; a model fitted on nothing keeps no row; an empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batch: pa.RecordBatch) -> np.ndarray:

@@ -12,7 +12,6 @@ from array import array
 from functools import cache
 
 import numpy as np
-import tiktoken
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public split pattern of that vocabulary.
@@ -55,6 +54,8 @@ class Tokenizer:
     """ids(text) and count(text) by one vocabulary."""
 
     def __init__(self, path: str):
+        import tiktoken  # here, so that only what tokenises needs it
+
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})

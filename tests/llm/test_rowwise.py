@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sheaf.llm import addressable_codes as D
 from sheaf.llm import best_fit as B
@@ -216,10 +217,23 @@ def test_packing_on_odd_rows(spark, odd, none):
     assert got == sorted(_plain_packing(rows, 256, 3)) and B.pack(none).count() == 0
 
 
-def test_shards_don_t_depend_on_partitions(spark):
+def test_shards_follow_tokens_not_partitions(spark):
     docs = spark.createDataFrame([(i, "word " * (i % 37)) for i in range(300)], "doc_id bigint, text string")
-    a = B.pack(docs.repartition(1), 64, 4, shard=50).collect()
-    assert sorted(a) == sorted(B.pack(docs.repartition(7), 64, 4, shard=50).collect()) and len({r["shard"] for r in a}) == 6
+    a = B.pack(docs.repartition(1), 64, 4, shard=900).collect()
+    assert sorted(a) == sorted(B.pack(docs.repartition(7), 64, 4, shard=900).collect())
+    t, seen, want = tokenizer(), 0, {}
+    for i in range(300):
+        want[i] = seen // 900
+        seen += t.count("word " * (i % 37))
+    assert {r["doc_id"]: r["shard"] for r in a} == {i: k for i, k in want.items() if i % 37} and seen // 900 > 4
+
+
+def test_packing_fills_windows_whatever_the_ids(spark):
+    rng = random.Random(31)
+    rows = [(rng.getrandbits(62), "word " * rng.randint(60, 160)) for _ in range(1500)]
+    got = B.pack(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    bins = {(r["shard"], r["bin"]) for r in got}
+    assert sum(r["n_tokens"] for r in got) >= 0.9 * B.CAPACITY * len(bins) and {r["doc_id"] for r in got} == {i for i, _ in rows}
 
 
 # ---- language ID
@@ -267,8 +281,25 @@ def test_language_on_odd_rows(spark, odd, none):
         assert (r["lang"] is None) == (not r["accepted"])
     kept = L.keep_identified(odd, model)
     assert kept.columns == odd.columns and kept.count() == sum(r["accepted"] for r in got)
-    with pytest.raises(ValueError):
-        L.train(none)
+
+
+def test_nothing_labelled_is_no_error(spark, odd, none):
+    for docs in (none, odd.withColumn("lang", F.lit(None).cast("string"))):
+        model = L.train(docs)
+        assert not any(r["accepted"] or r["lang"] for r in L.identify(odd, model).collect()) and L.keep_identified(odd, model).count() == 0
+        assert L.identify(none, model).count() == 0
+
+
+def test_large_alphabets_keep_every_letter():
+    rng = random.Random(4)
+    signs = {k: [chr(c) for c in range(a, a + 3000)] for k, a in (("za", 0x4E00), ("zb", 0x6000))}
+    text = lambda k, n: "".join(rng.choices(signs[k], k=n)) if k in signs else _texts(k, 1, rng.random())[0]
+    model = L.fit({k: [text(k, 200) for _ in range(120)] for k in ("en", "za", "zb")})
+    codes = model.alphabet[L._points("".join(text("za", 500) for _ in range(9)) + "the and of")]
+    assert (codes != L.OTHER).mean() > 0.99 and model.symbols > 5000
+    held = [(k, text(k, 200)) for k in ("en", "za", "zb") for _ in range(20)]
+    best, _, _, ok = model.identify([t for _, t in held])
+    assert all(model.languages[b] == k for b, (k, _) in zip(best, held, strict=True)) and ok.mean() > 0.9
 
 
 # ---- URL filter
