@@ -1,7 +1,7 @@
 """Bounded-space online best-fit packing of documents into training windows.
 
-Documents come in the order of doc_id within shards of ``SHARD`` consecutive ids, so the result doesn't depend on how Spark
-partitions them. Each shard keeps at most ``OPEN`` open bins, whose free spaces are the bits of one integer: the best fit is
+Documents come in the order of doc_id. The sequence is cut into shards of about ``SHARD`` tokens by the tokens that lie before each
+document, so neither the ids' density nor Spark's partitions matter. Each shard keeps at most ``OPEN`` open bins, whose free spaces are the bits of one integer: the best fit is
 its lowest bit at or above the size. Where none fits and no bin may be added, the fullest closes first.
 """
 
@@ -13,16 +13,18 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import map_batches, table, texts
 from sheaf.llm.tokens import VOCABULARY, tokenizer
 from sheaf.llm.words import slices
+from sheaf.session import discard, materialize
 
 CAPACITY = 2048
 OPEN = 64
-SHARD = 1 << 16
+#: Tokens of a shard, which one task packs: 8192 full windows, so the at most 64 that a shard leaves open are under 1 %.
+SHARD = 1 << 24
 
 
 class Packer:
@@ -84,11 +86,31 @@ def sizes(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return map_batches(texts(docs), work, "doc_id bigint, n_tokens bigint")
 
 
+def before(sized: DataFrame) -> DataFrame:
+    """``sized`` (doc_id, n_tokens) with ``before``: the tokens of all rows before each, by doc_id and n_tokens.
+
+    As many ranges of doc_id as the session has shuffle partitions are cut; their totals go through the driver, and inside a range a
+    window sums. Rows that are equal in both columns are told apart by where they were written and may change places, which no result shows.
+    """
+    spark = sized.sparkSession
+    written = materialize(sized.withColumn("nth", F.monotonically_increasing_id()), "sizes")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialize(written.repartitionByRange(ranges, "doc_id", "n_tokens", "nth").withColumn("part", F.spark_partition_id()), "size-ranges")
+    discard(written)
+    totals = sorted((r["part"], r["n"]) for r in cut.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
+    starts = np.concatenate([[0], np.cumsum([n for _, n in totals])]).tolist()
+    offsets = spark.createDataFrame([(p, int(s)) for (p, _), s in zip(totals, starts, strict=False)], "part int, start bigint")
+    line = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    within = cut.withColumn("within", F.coalesce(F.sum("n_tokens").over(line), F.lit(0)))
+    return within.join(F.broadcast(offsets), "part").select("doc_id", "n_tokens", (F.col("start") + F.col("within")).alias("before"))
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN, shard: int = SHARD, vocabulary: str = VOCABULARY) -> DataFrame:
     """(shard, bin, offset, doc_id, piece, start, n_tokens): where each piece of each document goes.
 
-    Documents without tokens (null and empty texts) and rows without doc_id take no place; rows that repeat a doc_id are
-    placed each, the shorter first; other columns don't matter; an empty table gives none.
+    A shard holds the documents before which as many whole ``shard`` tokens lie. Documents without tokens (null and empty texts) and
+    rows without doc_id take no place; a very long text comes in as many pieces as it fills bins; rows that repeat a doc_id are placed
+    each, the shorter first; other columns don't matter; an empty table gives none.
     """
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +127,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN, shard
             yield pd.DataFrame(packer_rows, columns=["shard", "bin", "offset", "doc_id", "piece", "start", "n_tokens"])
 
     schema = "shard bigint, bin bigint, offset bigint, doc_id bigint, piece bigint, start bigint, n_tokens bigint"
-    placed = sizes(docs, vocabulary).where("n_tokens > 0").withColumn("shard", F.floor(F.col("doc_id") / F.lit(shard)).cast("bigint"))
+    placed = before(sizes(docs, vocabulary).where("n_tokens > 0")).withColumn("shard", F.expr(f"before div {int(shard)}"))
     return placed.repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens").mapInPandas(work, schema)
 
 
