@@ -10,7 +10,9 @@ sorting every suffix of the corpus in one place:
 3. the windows of an anchor meet in one task, which sorts their suffixes one bucket at a time. Suffixes that agree on the first
    ``COVER_PERIOD`` words are ordered by the ranks of a difference-cover sample, sorted beforehand; memory is bounded by the bucket
    and the sample. Neighbours in the suffix array that share ``LEAST`` words are repeats;
-4. repeated runs of a text that touch or overlap are joined.
+4. an anchor of more than ``HOT`` places (a licence line, say) never meets in one task: its kinds of window are counted by an
+   aggregation that combines on the map side, and so are the hashes of all runs of ``LEAST`` words of one window of each kind;
+5. repeated runs of a text that touch or overlap are joined.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import map_batches, table, texts
 from sheaf.llm.words import grams, mix, slices, words
-from sheaf.session import materialize
+from sheaf.session import materialize_measured, materialize
 
 #: Words of the shortest passage reported, and of the anchors' grams.
 LEAST = 50
@@ -37,6 +39,10 @@ COVER_PERIOD = 31
 #: Suffixes sorted at once, and windows that one suffix array is built over (more only for a single anchor's).
 BUCKET = 1 << 16
 WINDOWS = 4096
+#: Places of an anchor above which it is hot, the most such anchors looked for, and the counters that find them in one pass over all anchors.
+HOT = 20_000
+HOT_ANCHORS = 1000
+COUNTERS = 100_000
 
 
 def _offsets(period: int) -> np.ndarray:
@@ -108,17 +114,9 @@ def suffix_array(tokens: np.ndarray, wanted: np.ndarray | None = None, depth: in
     padded[:n] = dense + 1
     rank = cover_ranks(padded, period, max(depth or n, period), bits)
     offsets = _offsets(period)
-    # buckets: ranges of the first token, each split where a single token has more suffixes than a bucket holds by the second too
-    first = padded[wanted]
-    counts = np.bincount(first)
-    edges, held = [0], 0
-    for token, c in enumerate(counts.tolist()):
-        if held and held + c > bucket:
-            edges.append(token)
-            held = 0
-        held += c
-    edges.append(len(counts))
-    whole = np.searchsorted(edges, first, side="right")
+    # buckets: ranges of the first two tokens, of about ``bucket`` suffixes each
+    _, first, counts = np.unique(padded[wanted] << bits | padded[wanted + 1], return_inverse=True, return_counts=True)
+    whole = ((np.cumsum(counts) - counts) // bucket)[first]
     by = np.argsort(whole, kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], np.diff(whole[by]) != 0, [True]]))
     out = []
@@ -198,14 +196,14 @@ def anchors(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
                 out["anchor"].append(grams(own, gram)[at])
                 out["doc_id"].append(np.full(len(at), ids[i], np.int64))
                 out["at"].append(at.astype(np.int32))
-                out["lead"].append(lead.astype(np.int8))
-                out["size"].append(size.astype(np.int16))
-                out["kind"].append(mix(kind + (lead * 4096 + size).astype(np.uint64)))
+                out["lead"].append(lead.astype(np.int32))
+                out["size"].append(size.astype(np.int32))
+                out["kind"].append(mix(kind + mix(lead.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64))))
             if out["at"]:
                 columns = {k: np.concatenate(v) for k, v in out.items()}
                 yield columns | {k: columns[k].view(np.int64) for k in ("anchor", "kind")}
 
-    return map_batches(texts(docs), work, "anchor bigint, doc_id bigint, at int, lead tinyint, size smallint, kind bigint")
+    return map_batches(texts(docs), work, "anchor bigint, doc_id bigint, at int, lead int, size int, kind bigint")
 
 
 def _compare(windows: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
@@ -262,40 +260,45 @@ def _repeats(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc[at], "start": place[at], "stop": place[ends] + least})
 
 
-def repeats(docs: DataFrame, least: int = LEAST, gram: int | None = None) -> DataFrame:
+def repeats(docs: DataFrame, least: int = LEAST, gram: int | None = None, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): each text's words that lie in a run of ``least`` words that occurs elsewhere too.
 
     Runs that touch or overlap are joined. Words are those of sheaf.llm.words, numbered from 0; end_word is exclusive. Texts of fewer words (null and empty ones too)
-    have none; a repeat within a text counts; rows without doc_id are left out; rows that repeat a doc_id count as one document,
-    and passages they share at the same place don't repeat by that alone; other columns don't matter; an empty table gives none.
+    have none; very long texts are taken whole; a repeat within a text counts; rows without doc_id are left out; rows that repeat a doc_id count as one document,
+    and passages they share at the same place don't repeat by that alone; other columns don't matter; an empty table gives none. Anchors of more than ``hot`` places
+    are dealt with by counting, the others by suffix arrays; the result doesn't depend on that.
     """
     if least < 2:
         raise ValueError("least must be 2 at least")
     gram = (least + 1) // 2 if gram is None else gram
     own = texts(docs)
-    # one order serves all three windows
-    everything = (Window.unboundedPreceding, Window.unboundedFollowing)
-    kinds = Window.partitionBy("anchor", "kind").orderBy("doc_id", "at")
-    all_kinds = kinds.rowsBetween(*everything)
-    shared = materialize(
-        anchors(own, least, gram)
-        .withColumn("alike", F.count(F.lit(1)).over(all_kinds))
-        .withColumn("lo", F.min(F.struct("doc_id", "at")).over(all_kinds))
-        .withColumn("hi", F.max(F.struct("doc_id", "at")).over(all_kinds))
-        .withColumn("nth", F.row_number().over(kinds))
-        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor").orderBy("kind", "doc_id", "at").rowsBetween(*everything)))
-        .where("n > 1")
-        .select("anchor", "doc_id", "at", "lead", "size", "kind", (F.col("lo") != F.col("hi")).alias("proven"), (F.col("nth") == 1).alias("first"), (F.col("n") > F.col("alike")).alias("several")),
-        "suffix-anchors",
+    spots, seen = materialize_measured(anchors(own, least, gram), "suffix-spots", top=F.expr(f"approx_top_k(anchor, {HOT_ANCHORS}, {COUNTERS})"))
+    busy = [r["item"] for r in seen["top"] or () if r["count"] > hot]
+    met = _by_arrays(own, spots.where(~F.col("anchor").isin(busy)) if busy else spots, least, gram)
+    if busy:
+        met = met.unionByName(_by_counts(own, spots.where(F.col("anchor").isin(busy)), least, gram))
+    line = Window.partitionBy("doc_id").orderBy("start", "stop")
+    reach = F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    islands = met.withColumn("reach", reach).withColumn("island", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(line))
+    return (
+        islands.groupBy("doc_id", "island")
+        .agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"))
+        .select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
     )
-    proven = shared.where("proven AND size >= %d" % least).select("doc_id", (F.col("at") - F.col("lead")).cast("bigint").alias("start"), (F.col("at") - F.col("lead") + F.col("size")).cast("bigint").alias("stop"))
-    wanted = shared.where("first AND several AND size >= %d" % least).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "lead", "size")).alias("spots"))
+
+
+def _place(spots: DataFrame, least: int) -> DataFrame:
+    """(doc_id, start, stop) of the whole windows of spots that hold ``least`` words."""
+    start = F.col("at") - F.col("lead")
+    return spots.where(F.col("size") >= least).select("doc_id", start.cast("bigint").alias("start"), (start + F.col("size")).cast("bigint").alias("stop"))
+
+
+def _windows(own: DataFrame, spots: DataFrame, gram: int) -> DataFrame:
+    """(anchor, doc_id, at, lead, size, words): the word hashes of the spots' windows."""
+    wanted = spots.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "lead", "size")).alias("spots"))
 
     def fetch(batch: pa.RecordBatch) -> Iterator[dict]:
-        at = 0
-        while at < batch.num_rows:
-            part = batch.slice(at, 64)
-            at += 64
+        for part in slices(batch):
             found = words(part.column("text"))
             out: dict[str, list] = {k: [] for k in ("anchor", "doc_id", "at", "lead", "size", "words")}
             for i, (doc, spots) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("spots").to_pylist(), strict=True)):
@@ -303,23 +306,58 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int | None = None) -> Dat
                 for s in spots:
                     a = s["at"] - s["lead"]
                     if a + s["size"] <= len(hashes) and s["at"] + gram <= len(hashes):
-                        window = hashes[a : a + s["size"]]
                         for k in ("anchor", "at", "lead", "size"):
                             out[k].append(s[k])
                         out["doc_id"].append(doc)
-                        out["words"].append(window.tobytes())
+                        out["words"].append(hashes[a : a + s["size"]].tobytes())
             yield out
 
-    windows = map_batches(own.join(wanted, "doc_id").select("doc_id", "text", "spots"), fetch, "anchor bigint, doc_id bigint, at int, lead tinyint, size smallint, words binary")
-    met = windows.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(lambda it: _compare(it, least), "doc_id bigint, start bigint, stop bigint")
-    line = Window.partitionBy("doc_id").orderBy("start", "stop")
-    reach = F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    islands = proven.unionByName(met).withColumn("reach", reach).withColumn("island", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(line))
-    return (
-        islands.groupBy("doc_id", "island")
-        .agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"))
-        .select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
+    return map_batches(own.join(wanted, "doc_id").select("doc_id", "text", "spots"), fetch, "anchor bigint, doc_id bigint, at int, lead int, size int, words binary")
+
+
+def _by_arrays(own: DataFrame, spots: DataFrame, least: int, gram: int) -> DataFrame:
+    """(doc_id, start, stop) of repeats through anchors of few places: equal windows prove each other, one of each kind goes into a suffix array."""
+    # one order serves all three windows
+    everything = (Window.unboundedPreceding, Window.unboundedFollowing)
+    kinds = Window.partitionBy("anchor", "kind").orderBy("doc_id", "at")
+    all_kinds = kinds.rowsBetween(*everything)
+    shared = materialize(
+        spots.withColumn("alike", F.count(F.lit(1)).over(all_kinds))
+        .withColumn("lo", F.min(F.struct("doc_id", "at")).over(all_kinds))
+        .withColumn("hi", F.max(F.struct("doc_id", "at")).over(all_kinds))
+        .withColumn("nth", F.row_number().over(kinds))
+        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor").orderBy("kind", "doc_id", "at").rowsBetween(*everything)))
+        .where("n > 1")
+        .select("anchor", "doc_id", "at", "lead", "size", "kind", (F.col("lo") != F.col("hi")).alias("proven"), (F.col("nth") == 1).alias("first"), (F.col("n") > F.col("alike")).alias("several")),
+        "suffix-anchors",
     )
+    windows = _windows(own, shared.where("first AND several").where(F.col("size") >= least), gram)
+    met = windows.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(lambda it: _compare(it, least), "doc_id bigint, start bigint, stop bigint")
+    return _place(shared.where("proven"), least).unionByName(met)
+
+
+def _by_counts(own: DataFrame, spots: DataFrame, least: int, gram: int) -> DataFrame:
+    """(doc_id, start, stop) of repeats through hot anchors: nothing is grouped by anchor, all counting combines on the map side."""
+    spot = F.struct("doc_id", "at")
+    kinds = materialize(spots.where(F.col("size") >= least).groupBy("anchor", "kind").agg(F.min(F.struct("doc_id", "at", "lead", "size")).alias("lo"), F.max(spot).alias("hi")), "suffix-kinds")
+    repeated = kinds.where("lo.doc_id <> hi.doc_id OR lo.at <> hi.at").select("anchor", "kind")
+    proven = _place(spots.join(repeated, ["anchor", "kind"], "left_semi"), least)
+
+    def runs(batch: pa.RecordBatch) -> Iterator[dict]:
+        out: dict[str, list] = {"run": [], "doc_id": [], "start": []}
+        for doc, at, lead, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "lead", "words")), strict=True):
+            run = grams(np.frombuffer(raw, np.uint64), least)
+            out["run"].append(run)
+            out["doc_id"].append(np.full(len(run), doc, np.int64))
+            out["start"].append(at - lead + np.arange(len(run)))
+        if out["run"]:
+            columns = {k: np.concatenate(v) for k, v in out.items()}
+            yield columns | {"run": columns["run"].view(np.int64)}
+
+    each = materialize(map_batches(_windows(own, kinds.select("anchor", "lo.*"), gram), runs, "run bigint, doc_id bigint, start bigint"), "suffix-runs")
+    counted = each.groupBy("run").agg(F.min(F.struct("doc_id", "start")).alias("lo"), F.max(F.struct("doc_id", "start")).alias("hi")).where("lo <> hi").select("run")
+    met = each.join(counted, "run", "left_semi").select("doc_id", "start", (F.col("start") + least).alias("stop"))
+    return proven.unionByName(met)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

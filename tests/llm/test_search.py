@@ -176,8 +176,31 @@ def test_repeats_against_all_windows(spark):
             parts += [edited(rng, rng.choice(shared), rng.choice([0, 0, 0.05])), sentence(rng, rng.randint(0, 30))]
         docs.append((i, " ".join(parts)))
     docs += [(100, "x y " * 40), (101, "q " * 30), (102, docs[3][1]), (103, docs[3][1] + " more words")]
-    got = {tuple(r) for r in X.repeats(spark.createDataFrame(docs, "doc_id bigint, text string"), 12).collect()}
-    assert got == _plain_repeats(docs, 12)
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for hot in (X.HOT, 3):  # by suffix arrays, and by counts where an anchor has more than three places
+        assert {tuple(r) for r in X.repeats(table, 12, hot=hot).collect()} == _plain_repeats(docs, 12)
+
+
+@pytest.mark.parametrize("least", [50, 260, 300])
+def test_long_least_passages_are_whole(spark, least):
+    rng = random.Random(least)
+    shared = sentence(rng, 400)
+    docs = [(i, f"{sentence(rng, 40 * i)} {shared} {sentence(rng, 350)}") for i in range(3)]
+    got = {tuple(r) for r in X.repeats(spark.createDataFrame(docs, "doc_id bigint, text string"), least).collect()}
+    assert got == _plain_repeats(docs, least) and all(n >= 400 for *_, n in got)
+
+
+def test_a_line_in_most_documents_meets_in_no_task(spark, monkeypatch):
+    """A line of 30 words in nine of ten documents: its anchors are counted, none of its windows is put in a suffix array."""
+    rng = random.Random(12)
+    line = sentence(rng, 30)
+    docs = [(i, f"{sentence(rng, rng.randint(20, 60))} {line if i % 10 else ''} {sentence(rng, rng.randint(20, 60))}") for i in range(300)]
+    docs += [(1000 + i, f"{sentence(rng, 20)} {line} {sentence(random.Random(5), 40)} {sentence(rng, 20)}") for i in range(3)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    arrays = X._by_arrays
+    monkeypatch.setattr(X, "_by_arrays", lambda own, spots, *rest: arrays(own, spots, *rest) if spots.groupBy("anchor").count().where("count > 50").isEmpty() else pytest.fail("a hot anchor"))
+    got = {tuple(r) for r in X.repeats(table, 50, hot=50).collect()}
+    assert got == _plain_repeats(docs, 50) and {i for i, *_ in got} == {1000, 1001, 1002}
 
 
 def test_repeats_on_odd_rows(spark, odd, none):
