@@ -1,13 +1,16 @@
 """URL filter: logistic regression on hashed character n-grams of host and path.
 
-The model is trained on a small labelled table (``SEED_URLS`` or the caller's own) by Newton steps on the driver; scoring runs
-over whole Arrow buffers, one hash per byte window.
+The model is trained on a small labelled table (the package's own or the caller's) by Newton steps on the driver, and blocks from the
+score on at which whole hosts held out of training were unwanted nearly always; scoring runs over whole Arrow buffers, one hash per
+byte window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
+from pathlib import Path
 from urllib.parse import unquote
 
 import numpy as np
@@ -16,42 +19,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import map_batches, table
-from sheaf.llm.words import mix
+from sheaf.llm.words import mix, slices
 
 DIMENSIONS = 1 << 13
 LENGTHS = (3, 4, 5)
-THRESHOLD = 0.5
 PENALTY = 0.02
-#: (url, 1 = unwanted). Kinds of unwanted: gambling, pills, link farms, trackers, adult, scams, warez.
-SEED_URLS: tuple[tuple[str, int], ...] = tuple(
-    [(u, 1) for u in """
-http://best-casino-bonus.example/win http://casino-royale-win.example/slots/1 https://online-casino.example/play http://win-casino.example/en/12
-http://poker-win-big.example/table https://free-slots-casino.example/spin http://betting-tips-win.example/odds http://jackpot-win.example/now
-https://www.casinowin.example/en/77 http://lucky-slots.example/bonus?ref=1 http://cheap-pills.example/buy http://buy-cheap-viagra.example/order
-https://pills-online.example/cheap http://cheap-meds-pills.example/rx/3 http://discount-pills-shop.example/en/9 https://m.cheap-pills-store.example/fr/3
-http://weight-loss-pills.example/offer http://spam-farm.example/links https://link-farm-seo.example/page/4 http://seo-spam-links.example/backlinks
-http://backlink-farm.example/buy https://www.spamfarm.example/es/7 http://content-farm-spam.example/de/19 http://ads-track.example/click?id=1
-https://track-ads.example/pixel.gif http://adserver-track.example/banner https://ads.tracker-click.example/redirect http://click-track-ads.example/en/8
-https://www.ads-tracking.example/fr/2 http://popup-ads.example/show http://xxx-adult-cams.example/live http://hot-adult-dating.example/join
-https://free-porn-videos.example/watch http://sexy-cams-xxx.example/room http://win-free-iphone.example/claim http://get-rich-quick-money.example/start
-https://free-crypto-giveaway.example/claim http://payday-loans-fast.example/apply http://sports-bets-free.example/odds https://bets-today.example/live http://free-bets-now.example/en/5 https://www.bets-free.example/es/41 http://free-bets.example/fr/9 https://m.live-bets.example/de/3 http://adult-videos-x.example/new http://adult-x-movies.example/es/6 https://blog.adult-xx.example/en/14 http://m.adult-chat.example/fr/2 https://www.x-adult.example/top
-http://replica-watches-cheap.example/shop http://warez-crack-keygen.example/download
-https://torrent-crack-serial.example/free http://essay-writing-cheap.example/order
-""".split()]
-    + [(u, 0) for u in """
-https://www.library.example/catalog/12 http://news.daily.example/en/2020/05/story https://blog.garden.example/en/312/ http://www.university.example/courses/physics
-https://docs.software.example/guide/install http://museum.example/exhibits?page=2 https://www.cityhall.example/services https://recipes.kitchen.example/soup/42
-http://m.weather.example/fr/604 https://blog.travel.example/es/384?utm_source=feed http://forum.linux.example/thread/991 https://www.hospital.example/visit
-http://www.school.example/en/210?page=2&ref=x https://shop.books.example/item/88 http://history.example/en/231 https://blog.science.example/de/17#top
-http://www.railway.example/timetable https://en.encyclopedia.example/wiki/Water http://theatre.example/fr/723#top https://www.bakery.example/about
-http://blog.thinking.example/en/526/ https://www.the.example/en/126 http://ingestion.example/en/246 https://m.otherthings.example/en/345?page=2&ref=x
-http://www.gardenia.example/en/495 https://blog.stations.example/en/381#top http://there.example/en/676 https://www.thousand.example/fr/604
-http://anderson.example/de/408 https://research.lab.example/papers/2019/index.html http://bank.example/branches https://parliament.example/bills/17
-https://www.football.example/results http://music.example/albums/3 https://photo.example/gallery/sea.html http://farm.example/vegetables
-https://www.pharmacy.example/opening-hours http://track.athletics.example/meeting https://windows.example/repair http://winter.example/sports/4
-http://blog.charity.example/donate https://jobs.example/en/vacancies?page=3 http://maps.example/city/rome https://podcast.example/episodes/91.html
-""".split()]
-)
+#: Share of blocked URLs that must be unwanted, on hosts the model wasn't trained on, and the parts the hosts are cut into for that.
+PRECISION = 0.99
+FOLDS = 5
+#: (label, url) lines, 1 = unwanted: gambling, pills, adult, link farms, trackers, scams, phishing, warez, fakes. Written by hand, for no given table of pages.
+LABELS = Path(__file__).with_name("url_labels.tsv")
+#: Most labelled rows that the driver fits on.
+MOST_LABELLED = 4000
+
+
+def labelled_urls(spark: SparkSession, path: Path = LABELS) -> DataFrame:
+    """(url, label) of the labelled table that comes with the package."""
+    return spark.createDataFrame(read_labels(path), "url string, label int")
+
+
+def read_labels(path: Path = LABELS) -> list[tuple[str, int]]:
+    return [(url, int(label)) for label, url in (line.split("\t") for line in path.read_text().splitlines())]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -65,8 +53,11 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def features(urls: list[str | None], dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(url number, feature, weight) of every hashed n-gram; a URL's weights have length one over all its n-grams."""
-    parts = [p for u in urls for p in split_url(u)]
+    """(url number, feature, weight) of every hashed n-gram; a URL's weights have length one over all its n-grams.
+
+    The host's last label is left out where there are others: of few labelled hosts a model learns too much from .net or .org.
+    """
+    parts = [p for u in urls for host, path in [split_url(u)] for p in (host.rpartition(".")[0] or host, path)]
     raw = [f"^{p}$".encode("utf-8", "replace") if p else b"" for p in parts]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64) + np.uint64(1)
@@ -93,6 +84,7 @@ def features(urls: list[str | None], dimensions: int = DIMENSIONS) -> tuple[np.n
 class UrlModel:
     weights: np.ndarray
     bias: float
+    threshold: float = 0.5
 
     def scores(self, urls: list[str | None]) -> np.ndarray:
         row, column, value = features(urls, len(self.weights))
@@ -125,39 +117,65 @@ def fit(rows: list[tuple[str, int]], dimensions: int = DIMENSIONS, penalty: floa
     return UrlModel(x.T @ a, bias)
 
 
+def held_out(rows: list[tuple[str, int]], folds: int = FOLDS) -> np.ndarray:
+    """Score of each row by a model trained on the other folds; all URLs of a host lie in one fold."""
+    hosts = [".".join(split_url(u)[0].split(".")[-2:]) for u, _ in rows]
+    fold = np.array([int.from_bytes(blake2b(h.encode(), digest_size=4).digest(), "big") % folds for h in hosts])
+    out = np.full(len(rows), 0.5)
+    for k in range(folds):
+        rest = [r for r, f in zip(rows, fold, strict=True) if f != k]
+        own = np.flatnonzero(fold == k)
+        if rest and len(own):
+            out[own] = fit(rest).scores([rows[i][0] for i in own])
+    return out
+
+
+def calibrated(rows: list[tuple[str, int]], precision: float = PRECISION) -> float:
+    """The least score from 0.5 on at and above which held-out URLs are unwanted in a share of ``precision``; over 1 if there is none."""
+    scores, y = held_out(rows), np.array([v for _, v in rows])
+    order = np.argsort(-scores, kind="stable")
+    right = np.cumsum(y[order]) / np.arange(1, len(rows) + 1)
+    last = np.append(scores[order][1:] != scores[order][:-1], True)  # equal scores are blocked together
+    fine = np.flatnonzero((right >= precision) & last)
+    return max(0.5, float(scores[order][fine[-1]])) if len(fine) else 1.1
+
+
 def train(labelled: DataFrame) -> UrlModel:
-    """Fit on a small labelled table (url, label); rows with nulls are left out."""
-    rows = labelled.select(F.col("url").cast("string"), F.col("label").cast("int")).where("url IS NOT NULL AND label IS NOT NULL").distinct().orderBy("url", "label").collect()
-    return fit([(r[0], r[1]) for r in rows])
+    """Fit on a small labelled table (url, label), with the threshold from held-out hosts; rows with nulls are left out, of more than MOST_LABELLED distinct rows those of the least hash count."""
+    rows = labelled.select(F.col("url").cast("string"), F.col("label").cast("int")).where("url IS NOT NULL AND label IS NOT NULL").distinct()
+    picked = sorted((r[0], r[1]) for r in rows.orderBy(F.xxhash64("url", "label"), "url").limit(MOST_LABELLED).collect())
+    model = fit(picked)
+    model.threshold = calibrated(picked)
+    return model
 
 
-def score(pages: DataFrame, model: UrlModel, threshold: float = THRESHOLD) -> DataFrame:
+def score(pages: DataFrame, model: UrlModel, threshold: float | None = None) -> DataFrame:
     """(page_id, url, host, score, blocked), one row for each row of ``pages``.
 
-    A null or empty URL (or one without host and path) has score null and isn't blocked; null page_ids stay null; repeated rows
-    are scored each; other columns don't matter; an empty table gives none.
+    Blocked are scores from ``threshold`` on, the model's own if none is given. A null or empty URL (or one without host and path) has
+    score null and isn't blocked; very long URLs are hashed whole; null page_ids stay null; repeated rows are scored each and alike;
+    other columns don't matter; an empty table gives none.
     """
+    least = model.threshold if threshold is None else threshold
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        if not batch.num_rows:
-            return
-        urls = batch.column("url").to_pylist()
-        hosts = [split_url(u) for u in urls]
-        known = np.array([any(h) for h in hosts])
-        value = np.round(shared.value.scores(urls), 6)
-        yield {
-            "page_id": batch.column("page_id"),
-            "url": batch.column("url"),
-            "host": [h or None for h, _ in hosts],
-            "score": pa.array(value, mask=~known),
-            "blocked": known & (value >= threshold),
-        }
+        for part in slices(batch, "url"):
+            urls = part.column("url").to_pylist()
+            hosts = [split_url(u) for u in urls]
+            known = np.array([any(h) for h in hosts])
+            value = np.round(shared.value.scores(urls), 6)
+            yield {
+                "page_id": part.column("page_id"),
+                "url": part.column("url"),
+                "host": [h or None for h, _ in hosts],
+                "score": pa.array(value, mask=~known),
+                "blocked": known & (value >= least),
+            }
 
     slim = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"))
     return map_batches(slim, work, "page_id bigint, url string, host string, score double, blocked boolean")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = spark.createDataFrame(SEED_URLS, "url string, label int")
-    return score(table(spark, sf_dir, "pages"), train(labelled))
+    return score(table(spark, sf_dir, "pages"), train(labelled_urls(spark)))
