@@ -54,3 +54,9 @@ def drop_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> Dat
     small = ids.select(F.col("doc_id").alias("__drop_id")).distinct()
     side = F.broadcast(small) if ids.count() <= limit else small
     return docs.join(side, docs["doc_id"] == side["__drop_id"], "left_anti")
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """Documents whose doc_id is in ``ids`` (one column doc_id, materialised), where these are few enough to broadcast; else ``docs`` as it is, for the join to come."""
+    small = ids.select(F.col("doc_id").alias("__only_id")).distinct()
+    return docs.join(F.broadcast(small), docs["doc_id"] == small["__only_id"], "left_semi") if small.count() <= limit else docs

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -105,6 +106,29 @@ def test_near_duplicates_against_all_pairs(spark, copies):
     assert kept == set(copies) - set(found)
 
 
+def test_a_vector_of_most_texts_is_split(spark, monkeypatch):
+    """Different texts that are nearly alike, in parts of at most 20: their leaders meet, so they are one group; buckets are thinned to their leaders."""
+    rng = random.Random(17)
+    base = sentence(rng, 80)
+    docs = [(i, edited(rng, base, 0.03)) for i in range(90)] + [(200 + i, sentence(rng, 80)) for i in range(20)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["kept_id"] for r in O.near_duplicates(table, split=20).collect()}
+    assert got == {i: 0 for i in range(1, 90)} == {r["doc_id"]: r["kept_id"] for r in O.near_duplicates(table).collect()}
+    rows = pd.DataFrame({"key": [1] * 90 + [2], "part": 0, "parts": 1, "doc_id": range(91), "n_words": 80, "bins": [O.sketch(_hashes(t))[1] for _, t in docs[:91]]})
+    monkeypatch.setattr(O, "HELD", 10)
+    held = []
+    thin = lambda pdf: (pdf.iloc[:0], held.append(len(pdf)) or pdf.iloc[:1])
+    done = list(O._by_key((rows.iloc[i : i + 7] for i in range(0, 91, 7)), lambda pdf: pdf, ["key", "part"], thin))
+    assert max(held) < 20 and len(done[-1]) == 1
+
+
+def test_repeated_rows_stay_once(spark):
+    rng = random.Random(19)
+    t, u, v = (sentence(rng, 60) for _ in range(3))
+    docs = spark.createDataFrame([(1, t, "x"), (1, t, "y"), (2, t, "x"), (3, u, "x"), (3, v, "x"), (4, "", "x"), (4, "", "x"), (None, t, "x")], "doc_id bigint, text string, __nth string")
+    assert sorted((r[0] or 0, r[1]) for r in O.keep_first(docs).collect()) == sorted([(1, t), (3, u), (3, v), (4, ""), (4, ""), (0, t)])
+
+
 def test_near_duplicates_on_odd_rows(spark, odd, none):
     got = {(r["doc_id"], r["kept_id"]) for r in O.near_duplicates(odd).collect()}
     assert got == {(2, 1), (6, 5)}
