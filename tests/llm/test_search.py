@@ -292,6 +292,27 @@ def test_bands_meet_where_lengths_are_near(seed):
     assert set(key[owner == 0]) & set(key[owner == 1])
 
 
+def test_a_band_of_nearly_all_digests_is_split(spark, monkeypatch):
+    """Digests of edited copies share most bands: none is compared whole above 40, and the nearest is found as without a limit."""
+    rng = random.Random(23)
+    base = sentence(rng, 500)
+    docs = [(i, edited(rng, base, 0.01)) for i in range(150)] + [(500 + i, sentence(rng, 100)) for i in range(15)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    d = _digest_pairs(docs)
+    seen = spark.sparkContext.accumulator(0)
+    within = Q.nearest
+
+    def counted(ids, many, bound=Q.BOUND):
+        seen.add(len(ids) > 60)
+        return within(ids, many, bound)
+
+    monkeypatch.setattr(Q, "nearest", counted)
+    for splits in (0, 2):
+        got = {r["doc_id"]: (r["match_id"], r["difference"]) for r in Q.fingerprints(table, most=40, splits=splits).collect()}
+        right = sum(got[i][1] == min(Q.difference(x, y) for j, y in d.items() if j != i) for i, x in d.items() if i < 500)
+        assert right >= 0.95 * 150 and seen.value == 0
+
+
 def test_fingerprints_on_odd_rows(spark, odd, none):
     got = {r["doc_id"]: (r["match_id"], r["difference"]) for r in Q.fingerprints(odd).collect()}
     assert set(got) == {1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11} and got[1] == (2, 0) and got[2] == (1, 0) and got[5][0] == 6 and got[3] == (None, None)
