@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import filter_rows, map_batches, table, texts
 from sheaf.llm.words import grams, slices, words
+from sheaf.session import materialize
 
 LEAST = 4
 COVERAGE = 0.5
@@ -122,6 +123,7 @@ class Seeds:
             items = self.owners[np.repeat(self.first[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
             where = np.repeat(j, n)
             doc = found.of(t)
+            rolled = grams(doc, self.least)
             order = np.argsort(items, kind="stable")
             items, where = items[order], where[order]
             cut = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1], [True]]))
@@ -129,7 +131,7 @@ class Seeds:
                 k = int(items[lo])
                 item, spots = self.hashes[k], np.sort(where[lo:hi])
                 # seeds that occur in the document cover at most this much of the item
-                i, p = _matches(grams(item, self.least), grams(doc, self.least)[spots])
+                i, p = _matches(grams(item, self.least), rolled[spots])
                 covered = np.zeros(len(item) + 1, np.int64)
                 starts = np.unique(i)
                 np.add.at(covered, starts, 1)
@@ -142,26 +144,24 @@ class Seeds:
                     yield int(t), int(self.ids[k]), share, len(tiled), tiled[0][2]
 
 
-def _passes(benchmark: DataFrame, least: int, limit: int) -> list[Seeds]:
-    """Seeds of the whole benchmark, in parts of at most about ``limit`` words each."""
+def _passes(benchmark: DataFrame, least: int, limit: int) -> Iterator[tuple[int, Seeds]]:
+    """(number of passes, seeds) of the whole benchmark, in parts of at most about ``limit`` words each, built when they are asked for."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / (6 * limit)))
-    out = []
     for k in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        out.append(Seeds.build([(r["item_id"], r["text"]) for r in rows], least))
-    return out
+        yield parts, Seeds.build([(r["item_id"], r["text"]) for r in rows], least)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, limit: int = BROADCAST_WORDS) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, longest_tile) of every leaked item of every document.
 
-    Items of fewer than ``least`` words and null texts leak nowhere; rows with a null doc_id or item_id are left out; rows that
-    repeat an id count once, with their highest coverage; other columns don't matter; empty tables give none.
+    Items of fewer than ``least`` words and null texts leak nowhere; very long texts are tiled whole; rows with a null doc_id or item_id
+    are left out; rows that repeat an id count once, with their highest coverage; other columns don't matter; empty tables give none.
     """
     result = None
-    for part in _passes(benchmark, least, limit):
+    for parts, part in _passes(benchmark, least, limit):
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def work(batch: pa.RecordBatch, shared=shared) -> Iterator[dict]:
@@ -172,14 +172,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
                     yield dict(zip(("doc_id", "item_id", "coverage", "n_tiles", "longest_tile"), map(list, zip(*rows, strict=True)), strict=True))
 
         one = map_batches(texts(docs), work, "doc_id bigint, item_id bigint, coverage double, n_tiles int, longest_tile int")
+        if parts > 1:  # one part's seeds at a time
+            one = materialize(one, "leaks")
+            shared.destroy()
         result = one if result is None else result.unionByName(one)
     best = F.max(F.struct("coverage", "longest_tile", (-F.col("n_tiles")).alias("n"))).alias("best")
     return result.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.coverage", (-F.col("best.n")).alias("n_tiles"), "best.longest_tile")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, limit: int = BROADCAST_WORDS) -> DataFrame:
-    """The rows of ``docs`` in which no item leaks, columns unchanged; nothing is shuffled."""
-    for part in _passes(benchmark, least, limit):
+    """The rows of ``docs`` in which no item leaks, columns unchanged; nothing is shuffled.
+
+    Null and empty texts stay, rows without doc_id are judged by their text, repeated rows stay or go together; very long texts are
+    tiled whole; an empty benchmark keeps all, an empty table gives none.
+    """
+    for parts, part in _passes(benchmark, least, limit):
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def keep(batch: pa.RecordBatch, shared=shared) -> np.ndarray:
@@ -191,6 +198,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, covera
             return np.concatenate(masks)
 
         docs = filter_rows(docs, keep)
+        if parts > 1:
+            docs = materialize(docs, "clean")
+            shared.destroy()
     return docs
 
 
