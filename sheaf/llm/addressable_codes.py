@@ -106,7 +106,7 @@ class Codes:
 def token_codes(docs: DataFrame, vocabulary: str = VOCABULARY, bits: int = BITS) -> DataFrame:
     """(doc_id, n_tokens, codes), one row for each row of ``docs``.
 
-    A null or empty text has 0 tokens and the code of none; a null doc_id stays null; repeated rows are coded each;
+    A null or empty text has 0 tokens and the code of none; very long texts are coded whole; a null doc_id stays null; repeated rows are coded each;
     other columns don't matter; an empty table gives none.
     """
 
