@@ -10,8 +10,9 @@ sorting every suffix of the corpus in one place:
 3. the windows of an anchor meet in one task, which sorts their suffixes one bucket at a time. Suffixes that agree on the first
    ``COVER_PERIOD`` words are ordered by the ranks of a difference-cover sample, sorted beforehand; memory is bounded by the bucket
    and the sample. Neighbours in the suffix array that share ``LEAST`` words are repeats;
-4. an anchor of more than ``HOT`` places (a licence line, say) never meets in one task: its kinds of window are counted by an
-   aggregation that combines on the map side, and so are the hashes of all runs of ``LEAST`` words of one window of each kind;
+4. an anchor of more than ``HOT`` places (a licence line, say) never meets in one task: a repeat through it goes on for half of
+   ``LEAST - GRAM`` words to its left or to its right, so its windows meet where they agree on these words too. Should that be more
+   than ``HOT`` windows again, the hashes of all their runs of ``LEAST`` words are counted, which combines on the map side;
 5. repeated runs of a text that touch or overlap are joined.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import map_batches, table, texts
 from sheaf.llm.words import grams, mix, slices, words
-from sheaf.session import materialize_measured, materialize
+from sheaf.session import discard, materialize
 
 #: Words of the shortest passage reported, and of the anchors' grams.
 LEAST = 50
@@ -39,10 +40,12 @@ COVER_PERIOD = 31
 #: Suffixes sorted at once, and windows that one suffix array is built over (more only for a single anchor's).
 BUCKET = 1 << 16
 WINDOWS = 4096
-#: Places of an anchor above which it is hot, the most such anchors looked for, and the counters that find them in one pass over all anchors.
-HOT = 20_000
-HOT_ANCHORS = 1000
-COUNTERS = 100_000
+#: Places of an anchor above which its windows are told apart by what stands beside them.
+HOT = WINDOWS
+#: Places above which an anchor doesn't even pass through one window of the sort, the most such anchors looked for, and the counters that find them.
+SKEWED = 2_000_000
+SKEWED_ANCHORS = 1000
+COUNTERS = 16_384
 
 
 def _offsets(period: int) -> np.ndarray:
@@ -171,15 +174,19 @@ def _running(values: np.ndarray, w: int, best: np.ufunc, filler: np.uint64) -> n
     return best(right[: n - w + 1], left[w - 1 : n])
 
 
+SPOTS = "anchor bigint, doc_id bigint, at int, lead int, size int, kind bigint, left int, right int"
+
+
 def anchors(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(anchor, doc_id, at, lead, size, kind): anchors of each text with the place, length and hash of the words around them."""
+    """See SPOTS: anchors of each text with the place, length and hash of the words around them, and hashes of half as many words left and right of them (0 where there are fewer)."""
     side = least - gram
+    half = max(1, -(-side // 2))
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch):
             found = words(part.column("text"))
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            out: dict[str, list] = {k: [] for k in ("anchor", "doc_id", "at", "lead", "size", "kind")}
+            out: dict[str, list] = {k.split(" ")[0]: [] for k in SPOTS.split(", ")}
             for i in np.flatnonzero(np.diff(found.first) >= least):
                 own = found.of(i)
                 at = winnow(own, gram, least)
@@ -193,21 +200,24 @@ def anchors(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
                 kind[full] = whole[at[full] - side]
                 for j in np.flatnonzero(~full):
                     kind[j] = grams(own[at[j] - lead[j] : at[j] - lead[j] + size[j]], int(size[j]))[0]
+                beside = (grams(own, half) >> np.uint64(33)).astype(np.int32) + 1
                 out["anchor"].append(grams(own, gram)[at])
                 out["doc_id"].append(np.full(len(at), ids[i], np.int64))
                 out["at"].append(at.astype(np.int32))
                 out["lead"].append(lead.astype(np.int32))
                 out["size"].append(size.astype(np.int32))
                 out["kind"].append(mix(kind + mix(lead.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64))))
+                out["left"].append(np.where(at >= half, beside[np.maximum(at - half, 0)], 0))
+                out["right"].append(np.where(at + gram + half <= len(own), beside[np.minimum(at + gram, len(beside) - 1)], 0))
             if out["at"]:
                 columns = {k: np.concatenate(v) for k, v in out.items()}
                 yield columns | {k: columns[k].view(np.int64) for k in ("anchor", "kind")}
 
-    return map_batches(texts(docs), work, "anchor bigint, doc_id bigint, at int, lead int, size int, kind bigint")
+    return map_batches(texts(docs), work, SPOTS)
 
 
 def _compare(windows: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """Repeats between the windows of each anchor; rows come sorted by anchor."""
+    """Repeats between the windows of each key; rows come sorted by key."""
     empty = pd.DataFrame({"doc_id": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "stop": np.zeros(0, np.int64)})
     rest = None
     for pdf in windows:
@@ -216,7 +226,7 @@ def _compare(windows: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFra
         rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
         if len(rest) < WINDOWS:
             continue
-        anchor = rest["anchor"].to_numpy()
+        anchor = rest["key"].to_numpy()
         last = int(np.searchsorted(anchor, anchor[-1]))
         if last:
             yield _repeats(rest.iloc[:last], least)
@@ -225,7 +235,7 @@ def _compare(windows: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFra
 
 
 def _repeats(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
-    """(doc_id, start, stop) of the repeats of ``least`` words within each anchor's windows, by one suffix array."""
+    """(doc_id, start, stop) of the repeats of ``least`` words within each key's windows, by one suffix array."""
     lead = pdf["lead"].to_numpy().astype(np.int64)
     sizes = pdf["size"].to_numpy().astype(np.int64)
     side = int(lead.max())
@@ -240,10 +250,10 @@ def _repeats(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
     order = suffix_array(tokens, starts, depth=least)
     same = grams(tokens, least)[order]
     window = order // stride
-    anchor = pdf["anchor"].to_numpy()[window]
+    anchor = pdf["key"].to_numpy()[window]
     doc = pdf["doc_id"].to_numpy()[window]
     place = (pdf["at"].to_numpy().astype(np.int64) - lead)[window] + order - begin[window]
-    # equal runs of the array, split by anchor (stable, so the suffix order stays inside)
+    # equal runs of the array, split by key (stable, so the suffix order stays inside)
     run = np.cumsum(np.concatenate([[0], (same[1:] != same[:-1]).astype(np.int64)]))
     by = np.lexsort((place, doc, anchor, run))
     run, anchor, doc, place = run[by], anchor[by], doc[by], place[by]
@@ -260,23 +270,39 @@ def _repeats(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc[at], "start": place[at], "stop": place[ends] + least})
 
 
-def repeats(docs: DataFrame, least: int = LEAST, gram: int | None = None, hot: int = HOT) -> DataFrame:
+def repeats(docs: DataFrame, least: int = LEAST, gram: int | None = None, hot: int = HOT, skewed: int = SKEWED) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): each text's words that lie in a run of ``least`` words that occurs elsewhere too.
 
     Runs that touch or overlap are joined. Words are those of sheaf.llm.words, numbered from 0; end_word is exclusive. Texts of fewer words (null and empty ones too)
     have none; very long texts are taken whole; a repeat within a text counts; rows without doc_id are left out; rows that repeat a doc_id count as one document,
-    and passages they share at the same place don't repeat by that alone; other columns don't matter; an empty table gives none. Anchors of more than ``hot`` places
-    are dealt with by counting, the others by suffix arrays; the result doesn't depend on that.
+    and passages they share at the same place don't repeat by that alone; other columns don't matter; an empty table gives none. How many places make an anchor
+    ``hot`` or ``skewed`` changes the way, not the result.
     """
     if least < 2:
         raise ValueError("least must be 2 at least")
     gram = (least + 1) // 2 if gram is None else gram
     own = texts(docs)
-    spots, seen = materialize_measured(anchors(own, least, gram), "suffix-spots", top=F.expr(f"approx_top_k(anchor, {HOT_ANCHORS}, {COUNTERS})"))
-    busy = [r["item"] for r in seen["top"] or () if r["count"] > hot]
-    met = _by_arrays(own, spots.where(~F.col("anchor").isin(busy)) if busy else spots, least, gram)
+    spots = materialize(anchors(own, least, gram), "suffix-spots")
+    busy = _skewed(spots, skewed)
+    shared = materialize(_counted(spots.where(~F.col("anchor").isin(busy)) if busy else spots), "suffix-anchors")
+    met = _place(shared.where("proven"), least)
+    # (key, doc_id, at, lead, size): one window of each kind of an anchor that has several
+    single = shared.where("first AND several").where(F.col("size") >= least)
+    few = single.where(F.col("n") <= hot)
+    many = single.where(F.col("n") > hot).select("anchor", "doc_id", "at", "lead", "size", "left", "right")
     if busy:
-        met = met.unionByName(_by_counts(own, spots.where(F.col("anchor").isin(busy)), least, gram))
+        kinds, proven = _kinds(spots.where(F.col("anchor").isin(busy)), least)
+        met, many = met.unionByName(proven), many.unionByName(kinds)
+    else:
+        discard(spots)
+    beside = materialize(_beside(many), "suffix-beside")
+    crowds = materialize(beside.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-crowds")
+    close = beside.join(crowds.where(F.col("n") <= hot), "key", "left_semi")
+    meeting = few.select(F.col("anchor").alias("key"), "doc_id", "at", "lead", "size").unionByName(close)
+    compared = _windows(own, meeting, gram).repartition("key").sortWithinPartitions("key").mapInPandas(lambda it: _compare(it, least), "doc_id bigint, start bigint, stop bigint")
+    met = met.unionByName(compared)
+    if not crowds.where(F.col("n") > hot).isEmpty():
+        met = met.unionByName(_by_runs(own, beside.join(crowds.where(F.col("n") > hot), "key", "left_semi").drop("key").distinct().withColumn("key", F.lit(0).cast("bigint")), least, gram))
     line = Window.partitionBy("doc_id").orderBy("start", "stop")
     reach = F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))
     islands = met.withColumn("reach", reach).withColumn("island", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(line))
@@ -287,6 +313,47 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int | None = None, hot: i
     )
 
 
+def _skewed(spots: DataFrame, most: int) -> list[int]:
+    """Anchors of more than ``most`` places, by frequent-item counters of each partition, merged in two steps."""
+    if spots.count() <= most:
+        return []
+    some = spots.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).agg(F.expr(f"approx_top_k_accumulate(anchor, {COUNTERS})").alias("state"))
+    found = some.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(state, {COUNTERS}), {SKEWED_ANCHORS})").alias("top")).first()["top"]
+    return [r["item"] for r in found or () if r["count"] > most]
+
+
+def _counted(spots: DataFrame) -> DataFrame:
+    """Spots of anchors that occur more than once: ``proven`` by an equal window elsewhere, ``first`` of their kind, ``several`` kinds, ``n`` places."""
+    # one order serves all windows
+    everything = (Window.unboundedPreceding, Window.unboundedFollowing)
+    kinds = Window.partitionBy("anchor", "kind").orderBy("doc_id", "at")
+    all_kinds = kinds.rowsBetween(*everything)
+    return (
+        spots.withColumn("alike", F.count(F.lit(1)).over(all_kinds))
+        .withColumn("lo", F.min(F.struct("doc_id", "at")).over(all_kinds))
+        .withColumn("hi", F.max(F.struct("doc_id", "at")).over(all_kinds))
+        .withColumn("nth", F.row_number().over(kinds))
+        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor").orderBy("kind", "doc_id", "at").rowsBetween(*everything)))
+        .where("n > 1")
+        .select("anchor", "doc_id", "at", "lead", "size", "left", "right", "n", (F.col("lo") != F.col("hi")).alias("proven"), (F.col("nth") == 1).alias("first"), (F.col("n") > F.col("alike")).alias("several"))
+    )
+
+
+def _kinds(spots: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Of skewed anchors: one window of each kind, and (doc_id, start, stop) of windows that have an equal one elsewhere; all counting combines on the map side."""
+    whole = spots.where(F.col("size") >= least)
+    kinds = materialize(whole.groupBy("anchor", "kind").agg(F.min(F.struct("doc_id", "at", "lead", "size", "left", "right")).alias("lo"), F.max(F.struct("doc_id", "at")).alias("hi")), "suffix-kinds")
+    repeated = kinds.where("lo.doc_id <> hi.doc_id OR lo.at <> hi.at").select("anchor", "kind")
+    return kinds.select("anchor", "lo.*"), _place(whole.join(repeated, ["anchor", "kind"], "left_semi"), least)
+
+
+def _beside(spots: DataFrame) -> DataFrame:
+    """(key, doc_id, at, lead, size): each window under its anchor with the words left of it, and with those right of it."""
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("words")), F.struct(F.lit(1).alias("side"), F.col("right").alias("words")))
+    each = spots.select("anchor", "doc_id", "at", "lead", "size", F.explode(sides).alias("beside")).where("beside.words <> 0")
+    return each.select(F.xxhash64("anchor", "beside.side", "beside.words").alias("key"), "doc_id", "at", "lead", "size")
+
+
 def _place(spots: DataFrame, least: int) -> DataFrame:
     """(doc_id, start, stop) of the whole windows of spots that hold ``least`` words."""
     start = F.col("at") - F.col("lead")
@@ -294,54 +361,29 @@ def _place(spots: DataFrame, least: int) -> DataFrame:
 
 
 def _windows(own: DataFrame, spots: DataFrame, gram: int) -> DataFrame:
-    """(anchor, doc_id, at, lead, size, words): the word hashes of the spots' windows."""
-    wanted = spots.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "lead", "size")).alias("spots"))
+    """(key, doc_id, at, lead, size, words): the word hashes of the windows of spots (key, doc_id, at, lead, size)."""
+    wanted = spots.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "lead", "size")).alias("spots"))
 
     def fetch(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch):
             found = words(part.column("text"))
-            out: dict[str, list] = {k: [] for k in ("anchor", "doc_id", "at", "lead", "size", "words")}
+            out: dict[str, list] = {k: [] for k in ("key", "doc_id", "at", "lead", "size", "words")}
             for i, (doc, spots) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("spots").to_pylist(), strict=True)):
                 hashes = found.of(i)
                 for s in spots:
                     a = s["at"] - s["lead"]
                     if a + s["size"] <= len(hashes) and s["at"] + gram <= len(hashes):
-                        for k in ("anchor", "at", "lead", "size"):
+                        for k in ("key", "at", "lead", "size"):
                             out[k].append(s[k])
                         out["doc_id"].append(doc)
                         out["words"].append(hashes[a : a + s["size"]].tobytes())
             yield out
 
-    return map_batches(own.join(wanted, "doc_id").select("doc_id", "text", "spots"), fetch, "anchor bigint, doc_id bigint, at int, lead int, size int, words binary")
+    return map_batches(own.join(wanted, "doc_id").select("doc_id", "text", "spots"), fetch, "key bigint, doc_id bigint, at int, lead int, size int, words binary")
 
 
-def _by_arrays(own: DataFrame, spots: DataFrame, least: int, gram: int) -> DataFrame:
-    """(doc_id, start, stop) of repeats through anchors of few places: equal windows prove each other, one of each kind goes into a suffix array."""
-    # one order serves all three windows
-    everything = (Window.unboundedPreceding, Window.unboundedFollowing)
-    kinds = Window.partitionBy("anchor", "kind").orderBy("doc_id", "at")
-    all_kinds = kinds.rowsBetween(*everything)
-    shared = materialize(
-        spots.withColumn("alike", F.count(F.lit(1)).over(all_kinds))
-        .withColumn("lo", F.min(F.struct("doc_id", "at")).over(all_kinds))
-        .withColumn("hi", F.max(F.struct("doc_id", "at")).over(all_kinds))
-        .withColumn("nth", F.row_number().over(kinds))
-        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor").orderBy("kind", "doc_id", "at").rowsBetween(*everything)))
-        .where("n > 1")
-        .select("anchor", "doc_id", "at", "lead", "size", "kind", (F.col("lo") != F.col("hi")).alias("proven"), (F.col("nth") == 1).alias("first"), (F.col("n") > F.col("alike")).alias("several")),
-        "suffix-anchors",
-    )
-    windows = _windows(own, shared.where("first AND several").where(F.col("size") >= least), gram)
-    met = windows.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(lambda it: _compare(it, least), "doc_id bigint, start bigint, stop bigint")
-    return _place(shared.where("proven"), least).unionByName(met)
-
-
-def _by_counts(own: DataFrame, spots: DataFrame, least: int, gram: int) -> DataFrame:
-    """(doc_id, start, stop) of repeats through hot anchors: nothing is grouped by anchor, all counting combines on the map side."""
-    spot = F.struct("doc_id", "at")
-    kinds = materialize(spots.where(F.col("size") >= least).groupBy("anchor", "kind").agg(F.min(F.struct("doc_id", "at", "lead", "size")).alias("lo"), F.max(spot).alias("hi")), "suffix-kinds")
-    repeated = kinds.where("lo.doc_id <> hi.doc_id OR lo.at <> hi.at").select("anchor", "kind")
-    proven = _place(spots.join(repeated, ["anchor", "kind"], "left_semi"), least)
+def _by_runs(own: DataFrame, spots: DataFrame, least: int, gram: int) -> DataFrame:
+    """(doc_id, start, stop) of repeats between windows, by counting the hashes of all their runs."""
 
     def runs(batch: pa.RecordBatch) -> Iterator[dict]:
         out: dict[str, list] = {"run": [], "doc_id": [], "start": []}
@@ -354,10 +396,9 @@ def _by_counts(own: DataFrame, spots: DataFrame, least: int, gram: int) -> DataF
             columns = {k: np.concatenate(v) for k, v in out.items()}
             yield columns | {"run": columns["run"].view(np.int64)}
 
-    each = materialize(map_batches(_windows(own, kinds.select("anchor", "lo.*"), gram), runs, "run bigint, doc_id bigint, start bigint"), "suffix-runs")
+    each = materialize(map_batches(_windows(own, spots, gram), runs, "run bigint, doc_id bigint, start bigint"), "suffix-runs")
     counted = each.groupBy("run").agg(F.min(F.struct("doc_id", "start")).alias("lo"), F.max(F.struct("doc_id", "start")).alias("hi")).where("lo <> hi").select("run")
-    met = each.join(counted, "run", "left_semi").select("doc_id", "start", (F.col("start") + least).alias("stop"))
-    return proven.unionByName(met)
+    return each.join(counted, "run", "left_semi").select("doc_id", "start", (F.col("start") + least).alias("stop"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

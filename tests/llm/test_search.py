@@ -201,8 +201,8 @@ def test_repeats_against_all_windows(spark):
         docs.append((i, " ".join(parts)))
     docs += [(100, "x y " * 40), (101, "q " * 30), (102, docs[3][1]), (103, docs[3][1] + " more words")]
     table = spark.createDataFrame(docs, "doc_id bigint, text string")
-    for hot in (X.HOT, 3):  # by suffix arrays, and by counts where an anchor has more than three places
-        assert {tuple(r) for r in X.repeats(table, 12, hot=hot).collect()} == _plain_repeats(docs, 12)
+    for hot, skewed in ((X.HOT, X.SKEWED), (3, X.SKEWED), (3, 3), (1, 1)):  # by suffix arrays; by what stands beside, after a window or a count; by runs
+        assert {tuple(r) for r in X.repeats(table, 12, hot=hot, skewed=skewed).collect()} == _plain_repeats(docs, 12)
 
 
 @pytest.mark.parametrize("least", [50, 260, 300])
@@ -221,9 +221,11 @@ def test_a_line_in_most_documents_meets_in_no_task(spark, monkeypatch):
     docs = [(i, f"{sentence(rng, rng.randint(20, 60))} {line if i % 10 else ''} {sentence(rng, rng.randint(20, 60))}") for i in range(300)]
     docs += [(1000 + i, f"{sentence(rng, 20)} {line} {sentence(random.Random(5), 40)} {sentence(rng, 20)}") for i in range(3)]
     table = spark.createDataFrame(docs, "doc_id bigint, text string")
-    arrays = X._by_arrays
-    monkeypatch.setattr(X, "_by_arrays", lambda own, spots, *rest: arrays(own, spots, *rest) if spots.groupBy("anchor").count().where("count > 50").isEmpty() else pytest.fail("a hot anchor"))
-    got = {tuple(r) for r in X.repeats(table, 50, hot=50).collect()}
+    windows, largest = X._windows, []
+    monkeypatch.setattr(X, "_windows", lambda own, spots, gram: largest.append(spots.groupBy("key").count().agg({"count": "max"}).first()[0]) or windows(own, spots, gram))
+    for skewed in (X.SKEWED, 50):
+        got = {tuple(r) for r in X.repeats(table, 50, hot=50, skewed=skewed).collect()}
+        assert max(largest) <= 50 and got == _plain_repeats(docs, 50)
     assert got == _plain_repeats(docs, 50) and {i for i, *_ in got} == {1000, 1001, 1002}
 
 
