@@ -205,7 +205,6 @@ def head_parts(label: str) -> tuple[list[str], list[str], list[str], str, bool]:
 
 _WORDS = T.ArrayType(T.StringType())
 _HEAD = T.StructType([T.StructField("subjects", _WORDS), T.StructField("head", _WORDS), T.StructField("rest", _WORDS), T.StructField("other", T.StringType()), T.StructField("plural", T.BooleanType())])
-_PAIRS = T.ArrayType(T.StructType([T.StructField("hypo", T.StringType()), T.StructField("hyper", T.StringType())]))
 
 
 @F.pandas_udf(_HEAD)
@@ -261,23 +260,58 @@ def content_lemmas(labels: pd.Series) -> pd.Series:
     return labels.map(lambda x: sorted({lemma(w) for w in re.findall(r"[\w'-]+", x or "") if w.lower() not in STOPWORDS}))
 
 
-#: Hearst patterns: (text between, whether the kind stands left).
-HEARST = (("such as", True), ("including", True), ("especially", True), ("like", True), ("is a", False), ("are", False), ("and other", False))
+#: Hearst patterns: (words between, whether the kind stands left).
+HEARST = (
+    (r"(?:am|is|are|was|were|be|been|being) an?", False), ("(?:and|or) other", False), ("including", True), ("such as", True), ("especially", True), ("particularly", True), ("other than", True),
+)
+_WORD = r"[\p{L}\p{N}][\p{L}\p{N}'-]*"
+#: Words that no noun chunk of a Hearst pair holds, and those that may open one.
+NO_NOUNS = "|".join(sorted({*STOPWORDS, *PREPOSITIONS, "and", "or", "but", "other", "such", "including", "especially", "particularly", "am", "be", "been", "being", "he", "she", "they", "we", "you", "i"}))
+OPENERS = "the|a|an|this|that|these|those|his|her|its|their|some|any|all|many|most"
+#: Characters beside a pattern in which its chunks of up to four words are looked for.
+BESIDE = 160
+
+
+def chunk_before(c: Column) -> Column:
+    """The words without function words that ``c`` ends with, four at most and single-spaced; null where it ends with anything else."""
+    tail = F.regexp_replace(F.regexp_extract(F.right(c, F.lit(BESIDE)), rf"((?:{_WORD}\s+){{0,3}}{_WORD})\z", 1), r"\s+", " ")
+    kept = F.regexp_replace(F.concat(F.lit(" "), tail), rf"^.* (?:{NO_NOUNS}) ", " ")
+    return F.when((tail != "") & ~tail.rlike(rf"(?:^| )(?:{NO_NOUNS})\z"), F.trim(kept))
 
 
-@F.pandas_udf(_PAIRS)
-def hearst_pairs(texts: pd.Series) -> pd.Series:
-    """(hypo, hyper) lemma pairs of seven patterns, whole texts: the words on both sides of a pattern within a sentence."""
-    word = r"[^\W\d_][\w'-]*"
-    compiled = [(re.compile(rf"({word}),? {re.escape(p)} (?:an? |the )?({word})", re.I), left) for p, left in HEARST]
+def chunk_after(c: Column) -> Column:
+    """The words without function words that ``c`` begins with after an article, four at most; null where it begins with anything else."""
+    head = F.regexp_replace(F.regexp_extract(F.left(c, F.lit(BESIDE)), rf"^((?:{_WORD}\s+){{0,3}}{_WORD})", 1), r"\s+", " ")
+    opened = F.regexp_replace(head, rf"^(?:{OPENERS}) ", "")
+    kept = F.regexp_extract(opened, rf"^(.*?)(?: (?:{NO_NOUNS})(?: .*)?)?\z", 1)
+    return F.when((opened != "") & ~opened.rlike(rf"^(?:{NO_NOUNS})(?: |\z)"), kept)
 
-    def one(x: str | None) -> list[dict]:
-        out = []
-        for pattern, left in compiled:
-            for a, b in pattern.findall(x or ""):
-                a, b = lemma(a), lemma(b)
-                if a != b and a not in STOPWORDS and b not in STOPWORDS:
-                    out.append({"hypo": b if left else a, "hyper": a if left else b})
-        return out
 
-    return texts.map(one)
+def hearst_pairs(c: Column) -> Column:
+    """(hypo, hyper) lower-case noun chunks beside each Hearst pattern of a text, whole texts, by expressions alone; null texts have none.
+
+    A chunk is a run of words that are no function words, right before or after the pattern; any other sign in between makes no pair.
+    """
+    text = F.lower(F.coalesce(c, F.lit("")))
+    found = []
+    for words, left in HEARST:
+        parts = F.split(text, rf"\s+{words}\s+".replace(" ", r"\s+"))
+        before = F.transform(F.slice(parts, 1, F.size(parts) - 1), chunk_before)
+        after = F.transform(F.slice(parts, 2, F.size(parts)), chunk_after)
+        hypo, hyper = (after, before) if left else (before, after)
+        found.append(F.zip_with(hypo, hyper, lambda o, e: F.struct(o.alias("hypo"), e.alias("hyper"))))
+    return F.filter(F.concat(*found), lambda p: p.hypo.isNotNull() & p.hyper.isNotNull() & (p.hypo != p.hyper))
+
+
+# ---- words by tables -----------------------------------------------------------------------------------------------------------
+
+
+def iri_kind(iri: Column, base: str) -> Column:
+    """category, file, list or resource for IRIs of ``base``'s resources, class for those of its ontology; null for others."""
+    name = iri_to_name(iri, base + "resource/")
+    return (
+        F.when(iri.startswith(base + "ontology/"), "class")
+        .when(~iri.startswith(base + "resource/"), None)
+        .when(name.startswith("Category:"), "category").when(name.startswith("File:") | name.startswith("Image:"), "file")
+        .when(name.startswith("List_of_") | name.startswith("Lists_of_"), "list").otherwise("resource")
+    )

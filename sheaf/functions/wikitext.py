@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+import signal
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.session import materialize
+
 META_SECTIONS = frozenset("see also|references|external links|further reading|notes|bibliography|sources|footnotes|citations|works cited|literature|gallery|notes and references|external sources".split("|"))
 _LINK = re.compile(r"\[\[([^\[\]|]+)(?:\|([^\[\]]*))?\]\]")
 _LANGUAGE = re.compile(r"^:?[a-z]{2,3}:(?=\S)")
@@ -25,10 +30,9 @@ def link_target(target: str) -> str:
 def plain(markup: str) -> str:
     """Text of markup: links as their labels; templates, references, tags and emphasis gone."""
     text = re.sub(r"<ref[^>/]*/>|<ref[^>]*>.*?</ref>|<!--.*?-->", "", markup, flags=re.S)
-    for _ in range(20):  # innermost first
+    n = 1
+    while n:  # innermost first
         text, n = re.subn(r"\{\{[^{}]*\}\}", "", text)
-        if not n:
-            break
     text = re.sub(r"\[\[(?:File|Image):[^\[\]]*\]\]", "", text)
     text = _LINK.sub(lambda m: m[2] if m[2] is not None else m[1], text)
     text = re.sub(r"'{2,}|</?[a-zA-Z][^>]*>", "", text)
@@ -139,27 +143,65 @@ def parse_page(title: str, markup: str) -> list[dict]:
 
 
 ITEMS = "page string, listing int, kind string, top_section string, section string, item int, cell int, depth int, tokens array<string>, mentions array<struct<start:int,stop:int,target:string>>"
-#: Markup beyond this many characters is left to a page's error row, so one page can't hold a task.
-LONGEST = 5_000_000
+#: Seconds a page may take, as in the pipeline this follows.
+SECONDS = 60.0
+
+
+class PageTimeout(Exception):
+    pass
+
+
+@contextmanager
+def _at_most(seconds: float) -> Iterator[None]:
+    """Raises PageTimeout when the block takes longer; where the interpreter allows no alarm (not the main thread) nothing is timed."""
+
+    def stop(*_: object) -> None:
+        raise PageTimeout
 
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """Item rows (see ITEMS) of pages (title, text); a page that can't be parsed gives none."""
+
+def parsed_pages(pages: DataFrame, seconds: float = SECONDS) -> DataFrame:
+    """Item rows (see ITEMS) of pages (title, text) with a column ``error``; a page that can't be parsed, or not in time, has one row with only that.
+
+    Pages with a null title or text have none.
+    """
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in ITEMS.split(", ")]
+        names = [c.split(" ")[0] for c in ITEMS.split(", ")] + ["error"]
         for pdf in parts:
             rows = []
             for title, text in zip(pdf["title"], pdf["text"], strict=True):
-                if text is None or title is None or len(text) > LONGEST:
+                if text is None or title is None:
                     continue
                 try:
-                    rows += [{"page": title, **r} for r in parse_page(title, text)]
-                except (RecursionError, ValueError, IndexError):
-                    continue
-            yield pd.DataFrame(rows, columns=names)
+                    with _at_most(seconds):
+                        rows += [{"page": title, **r} for r in parse_page(title, text)]
+                except (PageTimeout, RecursionError, ValueError, IndexError, KeyError) as e:
+                    rows.append({"page": title, "error": type(e).__name__})
+            frame = pd.DataFrame(rows, columns=names, dtype=object)
+            yield frame.where(frame.notna(), None)
+
+    return pages.select("title", "text").mapInPandas(work, ITEMS + ", error string")
+
+
+def parse_pages(pages: DataFrame, seconds: float = SECONDS) -> DataFrame:
+    """Item rows (see ITEMS) of pages (title, text) that could be parsed."""
+    return parsed_pages(pages, seconds).where("error IS NULL").drop("error")
 
-    return pages.select("title", "text").mapInPandas(work, ITEMS)
+
+def useful_pages(items: DataFrame, least: int = 3) -> DataFrame:
+    """(page): pages with a listing of ``least`` items or more."""
+    return items.groupBy("page", "listing").agg(F.countDistinct("item").alias("n")).where(F.col("n") >= least).select("page").distinct()
 
 
 def html_items(pages: DataFrame) -> DataFrame:
@@ -176,29 +218,74 @@ def category_parents(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("title").alias("cat"), F.explode(links).alias("p")).select("cat", F.concat(F.lit("Category:"), F.translate(F.trim("p"), " ", "_")).alias("parent")).where("cat <> parent").distinct()
 
 
+_CALL = re.compile(r"\{\{([^{}]*)\}\}")
+_REDIRECT = re.compile(r"#REDIRECT\s*\[\[Template:([^\]|]+)", re.I)
+
+
+def template_key(name: str) -> str:
+    return name.strip().replace(" ", "_").lower()
+
+
+def _transcluded(body: str, args: list[str]) -> str:
+    """A template's body as a page gets it: onlyinclude, noinclude and includeonly parts, parameters with defaults."""
+    only = re.findall(r"<onlyinclude>(.*?)</onlyinclude>", body, re.S)
+    body = "".join(only) if only else re.sub(r"</?includeonly>", "", re.sub(r"<noinclude>.*?</noinclude>", "", body, flags=re.S))
+    given, n = {}, 0
+    for a in args:
+        k, eq, v = a.partition("=")
+        if eq:
+            given[k.strip()] = v.strip()
+        else:
+            n += 1
+            given[str(n)] = a.strip()
+    return re.sub(r"\{\{\{([^{}|]*)(?:\|([^{}]*))?\}\}\}", lambda p: given.get(p[1].strip(), p[2] or ""), body)
+
+
 def expand_templates(text: str, templates: dict[str, str], seen: frozenset[str] = frozenset()) -> str:
-    """Text with its templates put in: onlyinclude, noinclude and includeonly parts, redirects, parameters with defaults; a template within itself gives nothing."""
-    for _ in range(50):
-        m = re.search(r"\{\{([^{}]*)\}\}", text)
-        if not m:
-            return text
+    """Text with its templates put in, redirects followed; a template within itself gives nothing, and one that isn't there nothing."""
+    out, done = [], 0
+    while m := _CALL.search(text, done):
         name, *args = m[1].split("|")
-        key = name.strip().replace(" ", "_").lower()
+        key = template_key(name)
         body = "" if key in seen else templates.get(key, "")
-        redirect = re.match(r"#REDIRECT\s*\[\[Template:([^\]|]+)", body, re.I)
-        if redirect:
-            key = redirect[1].strip().replace(" ", "_").lower()
+        if redirect := _REDIRECT.match(body):
+            key = template_key(redirect[1])
             body = "" if key in seen else templates.get(key, "")
-        only = re.findall(r"<onlyinclude>(.*?)</onlyinclude>", body, re.S)
-        body = "".join(only) if only else re.sub(r"</?includeonly>", "", re.sub(r"<noinclude>.*?</noinclude>", "", body, flags=re.S))
-        given, n = {}, 0
-        for a in args:
-            k, eq, v = a.partition("=")
-            if eq:
-                given[k.strip()] = v.strip()
-            else:
-                n += 1
-                given[str(n)] = a.strip()
-        body = re.sub(r"\{\{\{([^{}|]*)(?:\|([^{}]*))?\}\}\}", lambda p, given=given: given.get(p[1].strip(), p[2] or ""), body)
-        text = text[: m.start()] + expand_templates(body, templates, seen | {key}) + text[m.end() :]
-    return text
+        new = expand_templates(_transcluded(body, args), templates, seen | {key}) if body else ""
+        # what opens before this call may close after it: go on from the last open brace
+        text = text[done : m.start()] + new + text[m.end() :]
+        opened = text.rfind("{{", 0, m.start() - done)
+        cut = opened if opened >= 0 else m.start() - done + len(new)
+        out.append(text[:cut])
+        text, done = text[cut:], 0
+    return "".join(out) + text
+
+
+def expanded_pages(pages: DataFrame, templates: DataFrame, rounds: int = 40) -> DataFrame:
+    """``pages`` (title, text) with the templates (name, text) that they call put in.
+
+    What each page may need, directly or through other templates, is found by joins, a round for each level of nesting, so neither table is
+    collected; a page's own templates then are put in one batch of pages at a time. Pages deeper than ``rounds`` are an error.
+    """
+    key = lambda c: F.lower(F.regexp_replace(F.trim(c), " ", "_"))
+    own = templates.where("name IS NOT NULL AND text IS NOT NULL").groupBy(key(F.col("name")).alias("key")).agg(F.min("text").alias("body"))
+    calls = lambda c: F.array_distinct(F.transform(F.concat(F.regexp_extract_all(c, F.lit(r"\{\{([^{}|]+)"), F.lit(1)), F.regexp_extract_all(c, F.lit(r"(?i)#REDIRECT\s*\[\[Template:([^\]|]+)"), F.lit(1))), key))
+    within = own.select(F.col("key").alias("caller"), F.explode(calls(F.col("body"))).alias("key"))
+    needed = materialize(pages.where("text IS NOT NULL").select("title", F.explode(calls(F.col("text"))).alias("key")).distinct().join(own.select("key"), "key", "left_semi"), "calls")
+    new = needed
+    for _ in range(rounds):
+        further = new.withColumnRenamed("key", "caller").join(within, "caller").select("title", "key").distinct().join(own.select("key"), "key", "left_semi")
+        new = materialize(further.join(needed, ["title", "key"], "left_anti"), "calls")
+        if new.isEmpty():
+            break
+        needed = materialize(needed.unionByName(new), "calls")
+    else:
+        raise RuntimeError("templates are nested too deeply")
+    bodies = needed.join(own, "key").groupBy("title").agg(F.map_from_entries(F.collect_list(F.struct("key", "body"))).alias("bodies"))
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            texts = [t if t is None or "{{" not in t else expand_templates(t, b or {}) for t, b in zip(pdf["text"], pdf["bodies"], strict=True)]
+            yield pd.DataFrame({"title": pdf["title"], "text": texts})
+
+    return pages.select("title", "text").join(bodies, "title", "left").mapInPandas(work, "title string, text string")

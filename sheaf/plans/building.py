@@ -199,6 +199,27 @@ def page_items(spark, sf_dir):
     return items.select("page", F.element_at("mentions", 1).getField("target").alias("target")).groupBy("page", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("page_errors", "SELECT NULL::VARCHAR AS page, NULL::VARCHAR AS error WHERE false")
+def page_errors(spark, sf_dir):
+    return W.parsed_pages(_markup(spark, sf_dir)).where("error IS NOT NULL").select("page", "error")
+
+
+@query("page_useful", "SELECT CAST(l_suppkey AS VARCHAR) AS page FROM lineitem GROUP BY 1 HAVING count(*) >= 3")
+def page_useful(spark, sf_dir):
+    return W.useful_pages(W.parse_pages(_markup(spark, sf_dir)))
+
+
+@query("templates_expanded", "SELECT CAST(p_partkey AS VARCHAR) AS title, '[' || p_brand || ' of ' || lower(p_type) || '] by {' || p_name || '}' AS text FROM part")
+def templates_expanded(spark, sf_dir):
+    part = V.table(spark, sf_dir, "part")
+    pages = part.select(F.col("p_partkey").cast("string").alias("title"), F.concat(F.lit("{{Old "), F.col("p_type"), F.lit("|"), F.col("p_brand"), F.lit("}} by {"), F.col("p_name"), F.lit("}{{missing}}")).alias("text"))
+    kinds = part.select("p_type").distinct()
+    templates = kinds.select(F.col("p_type").alias("name"), F.concat(F.lit("<noinclude>doc</noinclude>[{{brand|{{{1}}}}} of "), F.lower("p_type"), F.lit("]")).alias("text"))
+    templates = templates.unionByName(kinds.select(F.concat(F.lit("Old "), F.col("p_type")).alias("name"), F.concat(F.lit("#REDIRECT [[Template:"), F.col("p_type"), F.lit("]]")).alias("text")))
+    templates = templates.unionByName(spark.createDataFrame([("brand", "{{{1|none}}}<noinclude>{{brand}}</noinclude>")], "name string, text string"))
+    return W.expanded_pages(pages, templates)
+
+
 @query("html_items", """SELECT page_id, i - 1 AS item, regexp_extract(l[i], '>([^<]+)</a>', 1) AS label, regexp_extract(l[i], 'href="([^"]*)"', 1) AS target FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i
 FROM (SELECT page_id, regexp_extract_all(html, '<li>\\s*<a href="[^"]*">[^<]*</a>\\s*</li>') AS l FROM pages) x) y""")
 def html_items(spark, sf_dir):

@@ -110,9 +110,23 @@ def content_lemmas(spark, sf_dir):
     return V.table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.content_lemmas("p_name"), " ").alias("lemmas"))
 
 
-@query("hearst_pairs")
+def _hearst_sql() -> str:
+    word, no, beside = X._WORD.replace("'", "''"), X.NO_NOUNS, X.BESIDE
+    tail = f"regexp_replace(regexp_extract(right(p[i], {beside}), '((?:{word}\\s+){{0,3}}{word})\\z', 1), '\\s+', ' ', 'g')"
+    head = f"regexp_replace(regexp_replace(regexp_extract(left(p[i + 1], {beside}), '^((?:{word}\\s+){{0,3}}{word})', 1), '\\s+', ' ', 'g'), '^(?:{X.OPENERS}) ', '')"
+    each = []
+    for words, left in X.HEARST:
+        pattern = rf"\s+{words}\s+".replace(" ", r"\s+")
+        b, a = ("hyper", "hypo") if left else ("hypo", "hyper")
+        each.append(f"""SELECT CASE WHEN t <> '' AND NOT regexp_matches(t, '(?:^| )(?:{no})\\z') THEN trim(regexp_replace(' ' || t, '^.* (?:{no}) ', ' ')) END AS {b},
+CASE WHEN h <> '' AND NOT regexp_matches(h, '^(?:{no})(?: |\\z)') THEN regexp_extract(h, '^(.*?)(?: (?:{no})(?: .*)?)?\\z', 1) END AS {a}
+FROM (SELECT {tail} AS t, {head} AS h FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split_regex(lower(text), '{pattern}') AS p FROM documents WHERE text IS NOT NULL) x) y) z""")
+    return "SELECT hypo, hyper, count(*) AS n FROM (" + " UNION ALL BY NAME ".join(each) + ") u WHERE hypo <> hyper GROUP BY ALL"
+
+
+@query("hearst_pairs", _hearst_sql())
 def hearst_pairs(spark, sf_dir):
-    pairs = V.table(spark, sf_dir, "documents").select(F.explode(X.hearst_pairs("text")).alias("p"))
+    pairs = V.table(spark, sf_dir, "documents").select(F.explode(X.hearst_pairs(F.col("text"))).alias("p"))
     return pairs.groupBy("p.hypo", "p.hyper").agg(F.count(F.lit(1)).alias("n"))
 
 

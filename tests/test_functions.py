@@ -36,9 +36,42 @@ def test_column_functions(spark):
     assert tuple(got) == ("IPhone dogs ", "Foo baz", "Foo  (bar ) baz", "a ecole" if "a" not in X.STOPWORDS else "ecole", "XYzw", None, "Ships", "cat or dog in France", False, True, True)
 
 
-def test_hearst(spark):
-    rows = spark.createDataFrame([("Fruits such as apples. A cat is a mammal; dogs and other animals.",), (None,)], "t string").select(F.explode(X.hearst_pairs("t")).alias("p")).select("p.*").collect()
-    assert {tuple(r) for r in rows} == {("apple", "fruit"), ("cat", "mammal"), ("dog", "animal")}
+@pytest.mark.parametrize("text,pairs", [
+    ("A cat is a small mammal; it was an old town.", {("cat", "small mammal")}), ("Dogs, cats and other animals", {("cats", "animals")}), ("bread or other food in shops", {("bread", "food")}),
+    ("European cities including Paris.", {("paris", "european cities")}), ("fruits such as the red apples from Kent", {("red apples", "fruits")}), ("many birds especially herons", {("herons", "many birds")}),
+    ("sports particularly\n  rowing", {("rowing", "sports")}), ("colours other than green", {("green", "colours")}), ("Fruits, such as apples", set()), ("They are a band", set()), ("things like it", set()), ("such as", set()), (None, set()), ("", set()),
+    ("Lakes are a source and rivers were an origin of water", {("lakes", "source"), ("rivers", "origin")}),
+])
+def test_hearst(spark, text, pairs):
+    rows = spark.createDataFrame([(text,)], "t string").select(F.explode(X.hearst_pairs(F.col("t"))).alias("p")).select("p.*").collect()
+    assert {tuple(r) for r in rows} == pairs
+
+
+def test_pages_that_fail_or_take_long_leave_an_error_row(spark, monkeypatch):
+    pages = spark.createDataFrame([("Good", MARKUP), ("Slow", "slow"), ("Bad", "bad"), (None, "x"), ("Null", None), ("Long", "x" * 6_000_000 + MARKUP)], "title string, text string")
+    parse = W.parse_page
+
+    def stand_in(title, text):
+        if text == "slow":
+            while True:
+                pass
+        if text == "bad":
+            raise IndexError
+        return parse(title, text)
+
+    monkeypatch.setattr(W, "parse_page", stand_in)
+    rows = W.parsed_pages(pages, seconds=8).collect()
+    assert {(r["page"], r["error"]) for r in rows if r["error"]} == {("Slow", "PageTimeout"), ("Bad", "IndexError")}
+    assert sum(r["page"] == "Good" for r in rows) == sum(r["page"] == "Long" for r in rows) == 9
+    assert {r["page"] for r in W.useful_pages(spark.createDataFrame([r for r in rows if r["page"] == "Good"], rows[0].asDict() and W.parsed_pages(pages).schema)).collect()} == {"Good"}
+
+
+def test_templates_are_put_in_by_joins(spark):
+    templates = {"a": "<noinclude>doc</noinclude>[{{B|x={{{1|none}}}}}]", "b": "({{{x}}})", "old": "#REDIRECT [[Template:A]]", "self": "s{{Self}}"}
+    texts = {"one": "{{a|1}} and {{A}}", "two": "{{Old|2}}{{missing}}{{self}}", "three": "plain", "four": None, "five": "{{a|{{b|x=in}}}} " + "{{b|x=1}}" * 60}
+    want = {"one": "[(1)] and [(none)]", "two": "[(2)]s", "three": "plain", "four": None, "five": "[((in))] " + "(1)" * 60}
+    got = W.expanded_pages(spark.createDataFrame(list(texts.items()), "title string, text string"), spark.createDataFrame([("B" if k == "b" else k, v) for k, v in templates.items()], "name string, text string"))
+    assert {r["title"]: r["text"] for r in got.collect()} == want
 
 
 MARKUP = """Intro [[Rome|the city]].
