@@ -87,6 +87,33 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`context` with section entities, of which the first is the part numbered as the page's nation and the second the part numbered as the item's size, where the line has a
+    discount; their types; and list pages, those of suppliers in debt (P_type -1)."""
+    t = lambda name: table(spark, sf_dir, name)
+    part = t("part").select(F.col("p_partkey").alias("k"), "p_type")
+    rows = (
+        t("lineitem").select("l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey", "l_discount")
+        .join(t("part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(t("supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(t("nation").select("n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(
+            F.col("l_suppkey").alias("P"), F.col("l_linenumber").alias("L"), F.col("l_returnflag").alias("TS"), F.col("l_linestatus").alias("S"), F.col("l_partkey").alias("E"), F.floor(F.col("p_size") / 10).cast("int").alias("tag"),
+            F.when(F.col("s_acctbal") < 0, -1).otherwise(F.col("n_regionkey")).alias("P_type"), (F.col("n_nationkey") + 1).cast("bigint").alias("TS_ent"), F.when(F.col("l_discount") > 0, F.col("p_size")).cast("bigint").alias("S_ent"),
+        )
+    )
+    return rows.join(part.select(F.col("k").alias("TS_ent"), F.col("p_type").alias("TS_enttype")), "TS_ent", "left").join(part.select(F.col("k").alias("S_ent"), F.col("p_type").alias("S_enttype")), "S_ent", "left")
+
+
+def part_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`relations` and: the part numbered as a supplier's nation 'marks' the parts of its finished lines; parts are 'sizedAs' the part numbered as their size."""
+    t = lambda name: table(spark, sf_dir, name)
+    line = t("lineitem").where("l_linestatus = 'F'").select("l_suppkey", "l_partkey").join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    marks = line.select((F.col("s_nationkey") + 1).cast("bigint").alias("sub"), F.lit("marks").alias("pred"), F.col("l_partkey").alias("obj")).distinct()
+    sized = t("part").select(F.col("p_partkey").alias("sub"), F.lit("sizedAs").alias("pred"), F.col("p_size").cast("bigint").alias("obj"))
+    return relations(spark, sf_dir).unionByName(marks).unionByName(sized)
+
+
 def part_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(E, type): transitive types of parts, without the root."""
     part = table(spark, sf_dir, "part")
@@ -147,6 +174,14 @@ SELECT DISTINCT ent, type FROM kg_types UNION SELECT t.ent, c.ancestor FROM kg_t
     "listing_context": """
 SELECT l_suppkey AS P, l_linenumber AS L, l_returnflag AS TS, l_linestatus AS S, l_partkey AS E, CAST(floor(p_size / 10.0) AS INTEGER) AS tag, n_regionkey AS P_type
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
+    "listing_sections": """
+SELECT l_suppkey AS P, l_linenumber AS L, l_returnflag AS TS, l_linestatus AS S, l_partkey AS E, CAST(floor(p.p_size / 10.0) AS INTEGER) AS tag, CASE WHEN s_acctbal < 0 THEN -1 ELSE n_regionkey END AS P_type,
+CAST(n_nationkey + 1 AS BIGINT) AS TS_ent, CASE WHEN l_discount > 0 THEN CAST(p.p_size AS BIGINT) END AS S_ent, t.p_type AS TS_enttype, CASE WHEN l_discount > 0 THEN u.p_type END AS S_enttype
+FROM lineitem JOIN part p ON l_partkey = p.p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+LEFT JOIN part t ON t.p_partkey = n_nationkey + 1 LEFT JOIN part u ON u.p_partkey = p.p_size""",
+    "part_relations": """
+SELECT * FROM kg_relations UNION ALL SELECT DISTINCT CAST(s_nationkey + 1 AS BIGINT), 'marks', l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linestatus = 'F'
+UNION ALL SELECT p_partkey, 'sizedAs', CAST(p_size AS BIGINT) FROM part""",
     "part_types": """
 SELECT p_partkey AS E, 'Product' AS type FROM part UNION ALL SELECT p_partkey, p_type FROM part UNION ALL SELECT p_partkey, p_type || '/' || p_brand FROM part""",
     "kg_relations": """
@@ -157,7 +192,7 @@ SELECT DISTINCT cat, ent FROM (
   SELECT split_part(p_name, ' ', -1) AS cat, 'P' || CAST(p_partkey AS VARCHAR) AS ent FROM part
   UNION ALL SELECT p_name, 'P' || CAST(p_partkey AS VARCHAR) FROM part UNION ALL SELECT p_brand, 'P' || CAST(p_partkey AS VARCHAR) FROM part)""",
 }
-_NEEDS = {"kg_closure": ("kg_subclass",), "kg_transitive": ("kg_subclass", "kg_closure", "kg_types")}
+_NEEDS = {"kg_closure": ("kg_subclass",), "kg_transitive": ("kg_subclass", "kg_closure", "kg_types"), "part_relations": ("kg_relations",)}
 
 
 def oracle(body: str, *views: str) -> str:
