@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from sheaf.plans import building, kg, linking, listing  # noqa: F401
+    from sheaf.plans import building, kg, linking, listing, lookups  # noqa: F401
 
 
 _load()
