@@ -3,9 +3,9 @@
 A document's word k-mers are labelled with their occurrence number; for each of ``SKETCHES`` hash functions the
 ``KEEP`` least labelled k-mers are taken and joined in text order. Documents that share such a vector are candidates:
 within a bucket each is compared with the bucket's leaders by a small one-byte-per-bin sketch of its k-mers, and linked
-to those it resembles or becomes a leader itself. Texts of equal words are one before that, so groups of exact copies cost nothing;
+to those it resembles or becomes a leader itself. Texts of few words are compared by counts of their words, which rule out no near duplicate. Texts of equal words are one before that, so groups of exact copies cost nothing;
 vectors that very many texts share are split into parts whose leaders meet afterwards. Linked pairs are verified by a bit-parallel banded edit distance over
-words. Members that verified pairs didn't bring into one group are then compared with each other, and all verified pairs form groups.
+words. Members, and leaders that earlier members resemble, that verified pairs didn't bring into one group are then compared with each other, and all verified pairs form groups.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ SHORT = 44
 SHORT_SKETCHES = 16
 #: Least edit similarity, 1 - distance / words of the longer text, of a verified pair.
 SIMILARITY = 0.7
-#: Least share of agreeing bins at which a bucket's member is linked to a leader, and bins a document has.
-RESEMBLANCE = 0.12
+#: Least share of agreeing bins at which two texts of a bucket may be near duplicates, and bins a document has. Texts that share a vector by chance agree in
+#: 2 or 3 bins of 64; at SIMILARITY a quarter or more of the 2-grams agree, so 4 bins are missed once in 10,000 times or less.
+RESEMBLANCE = 0.05
 BINS = 64
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 _SHORT_SEEDS = np.random.default_rng(12).integers(1, 2**63, SHORT_SKETCHES, dtype=np.uint64)
@@ -44,6 +45,8 @@ HOT_VECTORS = 1000
 COUNTERS = 16_384
 #: Rows of one bucket held at once; of a longer one the leaders stay.
 HELD = 50_000
+#: Members of one bucket that are compared with each other in one task; those of a larger one meet block by block.
+TOGETHER = 8192
 
 
 def _labelled(kmers: np.ndarray) -> np.ndarray:
@@ -93,6 +96,11 @@ def sketch(hashes: np.ndarray, k: int = KMER, keep: int = KEEP, seeds: np.ndarra
     return keys, value.astype(np.uint8).tobytes()
 
 
+def folded(hashes: np.ndarray) -> bytes:
+    """Words of a text of at most 255 counted by BINS classes: no edit changes more than two counts, one up and one down, so these bound the distance from below."""
+    return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.uint8).tobytes()
+
+
 def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """Edit distance of two word sequences if it is at most ``limit``, else None.
 
@@ -167,7 +175,10 @@ def distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, whole, n_words, bins, keys) for each document with a word: a hash of all its words, their number, and its vectors."""
+    """(doc_id, whole, n_words, bins, keys) for each document with a word: a hash of all its words, their number, and its vectors.
+
+    bins are folded counts for texts of up to SHORT words, a bin sketch for others, and both for those that may be near duplicates of either.
+    """
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch):
@@ -180,7 +191,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 if len(own) <= SHORT:
                     vector = np.concatenate([vector, sketch(own, k=1, seeds=_SHORT_SEEDS)[0]])
                 keys.append(vector)
-                bins.append(small)
+                counts = folded(own) if len(own) <= SHORT / SIMILARITY else b""
+                bins.append(counts if len(own) <= SHORT else small + counts)
                 whole.append(grams(own, len(own))[0])
             if keys:
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
@@ -195,37 +207,60 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_batches(texts(docs), work, "doc_id bigint, whole bigint, n_words int, bins binary, keys array<bigint>")
 
 
-def _resembling(i: int, others: np.ndarray, sizes: np.ndarray, bins: np.ndarray, similarity: float) -> np.ndarray:
-    """Which of the others a bucket's row i may be a near duplicate of, by length and bins."""
-    ours, theirs = bins[i], bins[others]
-    agree = ((theirs == ours) & (ours > 0)).sum(1)
-    either = ((theirs > 0) | (ours > 0)).sum(1)
-    return (agree >= RESEMBLANCE * either) & (np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i]))
-
-
-def _links(ids: np.ndarray, sizes: np.ndarray, bins: np.ndarray, similarity: float) -> tuple[list[tuple[int, int]], list[int], np.ndarray]:
-    """Pairs (leader, member) of one bucket, ids in ascending order, the rows of its members and those of its leaders.
+def _unpacked(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin sketches, folded counts, which rows have counts) of a bucket's bins as :func:`sketches` gives them."""
+    few = sizes <= SHORT
+    counted = few | np.array([len(r) > BINS for r in rows], bool)
+    bins, counts = np.zeros((2, len(rows), BINS), np.uint8)
+    if not few.all():
+        bins[~few] = np.frombuffer(b"".join(r[:BINS] for r in rows[~few]), np.uint8).reshape(-1, BINS)
+    if counted.any():
+        counts[counted] = np.frombuffer(b"".join(r[-BINS:] for r in rows[counted]), np.uint8).reshape(-1, BINS)
+    return bins, counts, counted
+
+
+def _resembling(i: int, others: np.ndarray, sizes: np.ndarray, own: tuple[np.ndarray, np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the others a bucket's row i may be a near duplicate of: by length, and by counts where one of the two is short, else by bins."""
+    bins, counts, counted = own
+    out = np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i])
+    few = (sizes[others] <= SHORT) | (sizes[i] <= SHORT)
+    if counted[i] and (at := np.flatnonzero(out & few & counted[others])).size:
+        more = counts[others[at]].astype(np.int16) - counts[i]
+        up, all_ = np.maximum(more, 0).sum(1), more.sum(1)
+        out[at] = np.maximum(up, up - all_) <= (1 - similarity) * np.maximum(sizes[others[at]], sizes[i]) + 1e-9
+    if (at := np.flatnonzero(out & ~few)).size:
+        ours, theirs = bins[i], bins[others[at]]
+        agree = ((theirs == ours) & (ours > 0)).sum(1)
+        out[at] = agree >= RESEMBLANCE * ((theirs > 0) | (ours > 0)).sum(1)
+    return out
+
+
+def _links(ids: np.ndarray, sizes: np.ndarray, rows: np.ndarray, similarity: float) -> tuple[list[tuple[int, int]], list[int], np.ndarray]:
+    """Pairs (leader, member) of one bucket, ids in ascending order, the rows of its members and of leaders that earlier members resemble, and those of all its leaders.
 
     A document that comes with several texts is a row for each, and none of them is linked with another.
     """
-    out, members = [], []
+    out, members, late = [], [], []
+    own = _unpacked(rows, sizes)
     leaders = np.zeros(0, np.int64)
     for i in range(len(ids)):
         if len(leaders):
-            near = leaders[_resembling(i, leaders, sizes, bins, similarity)]
+            near = leaders[_resembling(i, leaders, sizes, own, similarity)]
             near = near[ids[near] != ids[i]]
             if len(near):
                 out += [(min(ids[j], ids[i]), max(ids[j], ids[i])) for j in near]
                 members.append(i)
                 continue
+            if members and _resembling(i, np.array(members), sizes, own, similarity).any():
+                late.append(i)
         leaders = np.append(leaders, i)
-    return out, members, leaders
+    return out, members + late, leaders
 
 
-def _by_key(parts: Iterator[pd.DataFrame], work, by: list[str], thin=None) -> Iterator[pd.DataFrame]:
+def _by_key(parts: Iterator[pd.DataFrame], work, by: list[str], thin=None, most: int | None = None) -> Iterator[pd.DataFrame]:
     """``work`` on rows of whole keys; a partition comes sorted by the columns ``by``, a bucket may run over batches.
 
-    Of a bucket of more than HELD rows ``thin``, if given, gives a frame to pass on and the rows to hold.
+    Of a bucket of more than ``most`` rows (HELD if None) ``thin``, if given, gives a frame to pass on and the rows to hold.
     """
     rest = None
     for pdf in parts:
@@ -237,7 +272,7 @@ def _by_key(parts: Iterator[pd.DataFrame], work, by: list[str], thin=None) -> It
         if last:
             yield work(pdf.iloc[:last])
         rest = pdf.iloc[last:]
-        if thin is not None and len(rest) > HELD:
+        if thin is not None and len(rest) > (most or HELD):
             done, rest = thin(rest.reset_index(drop=True))
             yield done
     if rest is not None and len(rest):
@@ -260,17 +295,23 @@ _FOUND = "kind int, key bigint, a bigint, b bigint, n_words int, bins binary"
 _PAIR, _MEMBER, _LEADER = 0, 1, 2
 
 
-def _linked(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs, members and leaders of each bucket (key, part) of rows (key, part, parts, doc_id, n_words, bins); members of buckets that have two, leaders of buckets that are one of several parts."""
+def _linked(rows: DataFrame, similarity: float, held: int | None = None) -> DataFrame:
+    """Pairs, members and leaders of each bucket (key, part) of rows (key, part, parts, doc_id, n_words, bins); members of buckets that have two, leaders of buckets that are one of several parts.
+
+    The leaders of a bucket that was thinned count as members too: what earlier rows they resemble is no longer held.
+    """
     by = ["key", "part"]
 
     def link(pdf: pd.DataFrame, every: bool = False) -> tuple[pd.DataFrame, list[int]]:
         key, ids, sizes, rows, parts = (pdf[c].to_numpy() for c in ("key", "doc_id", "n_words", "bins", "parts"))
+        thinned = pdf["held"].eq(True).to_numpy() if "held" in pdf else np.zeros(len(pdf), bool)
         pairs, more, first = set(), [], []
         seen = np.zeros(len(pdf), bool)
         for lo, hi in _buckets(pdf, by):
             seen[lo:hi] = True
-            linked, members, leaders = _links(ids[lo:hi], sizes[lo:hi], np.frombuffer(b"".join(rows[lo:hi]), np.uint8).reshape(-1, BINS), similarity)
+            linked, members, leaders = _links(ids[lo:hi], sizes[lo:hi], rows[lo:hi], similarity)
+            if thinned[lo:hi].any() and not every:
+                members = sorted({*members, *leaders.tolist()})
             pairs.update(linked)
             if len(members) > 1 or every or parts[lo] > 1:
                 more += (lo + np.array(members, np.int64)).tolist()
@@ -293,15 +334,15 @@ def _linked(rows: DataFrame, similarity: float) -> DataFrame:
 
     def thin(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
         frame, leaders = link(pdf, every=True)
-        return frame, pdf.iloc[leaders]
+        return frame, pdf.iloc[leaders].assign(held=True)
 
     spread = rows.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id", "n_words")
-    return spread.mapInPandas(lambda it: _by_key(it, lambda pdf: link(pdf)[0], by, thin), _FOUND)
+    return spread.mapInPandas(lambda it: _by_key(it, lambda pdf: link(pdf)[0], by, thin, held), _FOUND)
 
 
-def candidates(rows: DataFrame, similarity: float = SIMILARITY, split: int = SPLIT) -> DataFrame:
+def candidates(rows: DataFrame, similarity: float = SIMILARITY, split: int = SPLIT, held: int | None = None) -> DataFrame:
     """(kind, key, a, b, n_words, bins) from distinct texts' sketches: pairs a < b of a leader and a member that a shared order-MinHash vector
-    and the bin sketch suggest, linear in a bucket of copies; and the members a of each bucket that has two or more."""
+    and the bins suggest, linear in a bucket of copies; and the members a of each bucket that has two or more (of one in parts all rows, members or leaders)."""
     each = rows.select(F.explode("keys").alias("key"), "doc_id", "n_words", "bins")
     hot: list[tuple[int, int]] = []
     if rows.count() > split:  # frequent-item counters of each partition, merged in two steps
@@ -309,36 +350,44 @@ def candidates(rows: DataFrame, similarity: float = SIMILARITY, split: int = SPL
         top = some.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(state, {COUNTERS}), {HOT_VECTORS})").alias("top")).first()["top"]
         hot = [(r["item"], -(-r["count"] // split)) for r in top or () if r["count"] > split]
     if not hot:
-        return _linked(each.withColumn("parts", F.lit(1)).withColumn("part", F.lit(0)), similarity)
+        return _linked(each.withColumn("parts", F.lit(1)).withColumn("part", F.lit(0)), similarity, held)
     parts = rows.sparkSession.createDataFrame(hot, "key bigint, parts int")
     cut = each.join(F.broadcast(parts), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    found = materialize(_linked(cut, similarity), "omh-parts")
+    found = materialize(_linked(cut, similarity, held), "omh-parts")
     leaders = found.where(f"kind = {_LEADER}").select("key", F.lit(0).alias("part"), F.lit(1).alias("parts"), F.col("a").alias("doc_id"), "n_words", "bins")
-    return found.where(f"kind <> {_LEADER}").unionByName(_linked(leaders, similarity))
+    return found.unionByName(_linked(leaders, similarity, held).where(f"kind = {_PAIR}"))
 
 
-def unproven(members: DataFrame, groups: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of resembling members of one bucket that are in different groups (node, component) so far."""
+def unproven(members: DataFrame, groups: DataFrame, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of resembling members of one bucket that are in different groups (node, component) so far; those of more than ``together`` meet in tasks of about as many."""
     by = ["key"]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes, group, rows = (pdf[c].to_numpy() for c in ("a", "n_words", "component", "bins"))
+        ids, sizes, group, block, rows = (pdf[c].to_numpy() for c in ("a", "n_words", "component", "block", "bins"))
         out = set()
         for lo, hi in _buckets(pdf, by):
             if (group[lo:hi] == group[lo]).all():
                 continue
-            bins = np.frombuffer(b"".join(rows[lo:hi]), np.uint8).reshape(-1, BINS)
+            own = _unpacked(rows[lo:hi], sizes[lo:hi])
+            across = (block[lo:hi] != block[lo]).any()  # two blocks: those of one block meet in a task of its own
             for i in range(hi - lo - 1):
-                others = i + 1 + np.flatnonzero(group[lo + i + 1 : hi] != group[lo + i])
-                near = others[_resembling(i, others, sizes[lo:hi], bins, similarity)]
+                apart = group[lo + i + 1 : hi] != group[lo + i]
+                if across:
+                    apart &= block[lo + i + 1 : hi] != block[lo + i]
+                others = i + 1 + np.flatnonzero(apart)
+                near = others[_resembling(i, others, sizes[lo:hi], own, similarity)]
                 out.update((min(ids[lo + i], ids[lo + j]), max(ids[lo + i], ids[lo + j])) for j in near)
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
     own = F.broadcast(groups) if groups.count() <= 1_000_000 else groups
     known = members.join(own.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     # buckets whose members are of one group go before anything is sent
-    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    spread = known.join(mixed, "key", "left_semi").select("key", "a", "component", "n_words", "bins").repartition("key").sortWithinPartitions("key", "a", "n_words")
+    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    blocks = mixed.select("key", F.ceil(F.when(F.col("n") > together, F.col("n") * 2 / together).otherwise(1)).cast("int").alias("blocks"))
+    cut = known.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("a", "n_words", "bins"), F.col("blocks")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least("block", o), F.greatest("block", o)))
+    to = F.explode(F.when(F.col("blocks") > 1, tiles).otherwise(F.array("key"))).alias("key")
+    spread = cut.select(to, "a", "component", "block", "n_words", "bins").repartition("key").sortWithinPartitions("key", "a", "n_words")
     return spread.mapInPandas(lambda parts: _by_key(parts, compare, by), "a bigint, b bigint").distinct()
 
 
@@ -385,7 +434,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, split: int
     pairs = materialize(found.where(f"kind = {_PAIR}").select("a", "b").distinct(), "omh-pairs")
     near = materialize(verified(docs, pairs, similarity).unionByName(_copies(rows)), "omh-edges")
     groups = connected_components(near, "a", "b")
-    rest = materialize(unproven(found.where(f"kind = {_MEMBER}"), groups, similarity).join(pairs, ["a", "b"], "left_anti"), "omh-rest")
+    rest = materialize(unproven(found.where(f"kind <> {_PAIR}"), groups, similarity).join(pairs, ["a", "b"], "left_anti"), "omh-rest")
     if not rest.isEmpty():  # members whose links to leaders proved nothing
         near = materialize(near.unionByName(verified(docs, rest, similarity)), "omh-all-edges")
         groups = connected_components(near, "a", "b")
