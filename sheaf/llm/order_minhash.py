@@ -4,8 +4,8 @@ A document's word k-mers are labelled with their occurrence number; for each of
 ``KEEP`` least labelled k-mers are taken and joined in text order. Documents that share such a vector are candidates:
 within a bucket each is compared with the bucket's leaders by a small one-byte-per-bin sketch of its k-mers, and linked
 to those it resembles or becomes a leader itself. Texts of few words are compared by counts of their words, which rule out no near duplicate. Texts of equal words are one before that, so groups of exact copies cost nothing;
-vectors that very many texts share are split into parts whose leaders meet afterwards. Linked pairs are verified by a bit-parallel banded edit distance over
-words. Members, and leaders that earlier members resemble, that verified pairs didn't bring into one group are then compared with each other, and all verified pairs form groups.
+vectors that very many texts share are split into parts whose leaders meet afterwards. Linked pairs whose counted words don't rule them out are verified by a bit-parallel banded edit distance over
+words; texts are sent for these alone. Members, and leaders that earlier members resemble, that verified pairs didn't bring into one group are then compared with each other, and all verified pairs form groups.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ HOT_VECTORS = 1000
 COUNTERS = 16_384
 #: Rows of one bucket held at once; of a longer one the leaders stay.
 HELD = 50_000
+#: Least and most bits of the classes by which a text's words are counted; between, there are as many classes as words or up to twice that.
+FEWEST_BITS, MOST_BITS = 6, 12
 #: Members of one bucket that are compared with each other in one task; those of a larger one meet block by block.
 TOGETHER = 8192
 
@@ -101,6 +103,24 @@ def folded(hashes: np.ndarray) -> bytes:
     return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.uint8).tobytes()
 
 
+def counted(hashes: np.ndarray) -> bytes:
+    """Words of a text of any length counted by classes, 255 at most of each; :func:`least_distance` compares them."""
+    bits = min(max((len(hashes) - 1).bit_length(), FEWEST_BITS), MOST_BITS)
+    return np.minimum(np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def least_distance(one: bytes, other: bytes) -> int:
+    """Least edits between two texts by their counted words: an edit changes no more than two counts, one up and one down. Of finer classes several make one of the coarser."""
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (one, other))
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < len(y):
+        y = np.minimum(y.reshape(len(x), -1).sum(1), 255)
+    more = x - y
+    up = int(np.maximum(more, 0).sum())
+    return max(up, up - int(more.sum()))
+
+
 def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """Edit distance of two word sequences if it is at most ``limit``, else None.
 
@@ -175,7 +195,7 @@ def distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, whole, n_words, bins, keys) for each document with a word: a hash of all its words, their number, and its vectors.
+    """(doc_id, whole, n_words, bins, keys, counts) for each document with a word: a hash of all its words, their number, its vectors and its counted words.
 
     bins are folded counts for texts of up to SHORT words, a bin sketch for others, and both for those that may be near duplicates of either.
     """
@@ -184,7 +204,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         for part in slices(batch):
             found = words(part.column("text"))
             rows = np.flatnonzero(np.diff(found.first))
-            keys, bins, whole = [], [], []
+            keys, bins, whole, classes = [], [], [], []
             for i in rows:
                 own = found.of(i)
                 vector, small = sketch(own)
@@ -194,6 +214,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 counts = folded(own) if len(own) <= SHORT / SIMILARITY else b""
                 bins.append(counts if len(own) <= SHORT else small + counts)
                 whole.append(grams(own, len(own))[0])
+                classes.append(counted(own))
             if keys:
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield {
@@ -202,9 +223,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                     "n_words": np.diff(found.first)[rows].astype(np.int32),
                     "bins": pa.array(bins, pa.binary()),
                     "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64))),
+                    "counts": pa.array(classes, pa.binary()),
                 }
 
-    return map_batches(texts(docs), work, "doc_id bigint, whole bigint, n_words int, bins binary, keys array<bigint>")
+    return map_batches(texts(docs), work, "doc_id bigint, whole bigint, n_words int, bins binary, keys array<bigint>, counts binary")
 
 
 def _unpacked(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -358,12 +380,15 @@ def candidates(rows: DataFrame, similarity: float = SIMILARITY, split: int = SPL
     return found.unionByName(_linked(leaders, similarity, held).where(f"kind = {_PAIR}"))
 
 
-def unproven(members: DataFrame, groups: DataFrame, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of resembling members of one bucket that are in different groups (node, component) so far; those of more than ``together`` meet in tasks of about as many."""
+def unproven(members: DataFrame, groups: DataFrame, similarity: float = SIMILARITY, together: int = TOGETHER, rows: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of resembling members of one bucket that are in different groups (node, component) so far; those of more than ``together`` meet in tasks of about as many.
+
+    ``rows``, the :func:`sketches` of the members, if given: pairs that their counts rule out go before they are written.
+    """
     by = ["key"]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes, group, block, rows = (pdf[c].to_numpy() for c in ("a", "n_words", "component", "block", "bins"))
+        ids, sizes, group, block, rows, counts = (pdf[c].to_numpy() for c in ("a", "n_words", "component", "block", "bins", "counts"))
         out = set()
         for lo, hi in _buckets(pdf, by):
             if (group[lo:hi] == group[lo]).all():
@@ -376,7 +401,10 @@ def unproven(members: DataFrame, groups: DataFrame, similarity: float = SIMILARI
                     apart &= block[lo + i + 1 : hi] != block[lo + i]
                 others = i + 1 + np.flatnonzero(apart)
                 near = others[_resembling(i, others, sizes[lo:hi], own, similarity)]
-                out.update((min(ids[lo + i], ids[lo + j]), max(ids[lo + i], ids[lo + j])) for j in near)
+                for j in near:
+                    one, other = lo + i, lo + j
+                    if counts[one] is None or counts[other] is None or least_distance(counts[one], counts[other]) <= _limit(similarity, sizes[one], sizes[other]):
+                        out.add((min(ids[one], ids[other]), max(ids[one], ids[other])))
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
     own = F.broadcast(groups) if groups.count() <= 1_000_000 else groups
@@ -385,12 +413,37 @@ def unproven(members: DataFrame, groups: DataFrame, similarity: float = SIMILARI
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
     blocks = mixed.select("key", F.ceil(F.when(F.col("n") > together, F.col("n") * 2 / together).otherwise(1)).cast("int").alias("blocks"))
     cut = known.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("a", "n_words", "bins"), F.col("blocks")).cast("int"))
+    if rows is None:
+        cut = cut.withColumn("counts", F.lit(None).cast("binary"))
+    else:
+        own = only_ids(rows, members.select(F.col("a").alias("doc_id"))).select(F.col("doc_id").alias("a"), "n_words", "bins", "counts").distinct()
+        cut = cut.join(own, ["a", "n_words", "bins"], "left")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least("block", o), F.greatest("block", o)))
     to = F.explode(F.when(F.col("blocks") > 1, tiles).otherwise(F.array("key"))).alias("key")
-    spread = cut.select(to, "a", "component", "block", "n_words", "bins").repartition("key").sortWithinPartitions("key", "a", "n_words")
+    spread = cut.select(to, "a", "component", "block", "n_words", "bins", "counts").repartition("key").sortWithinPartitions("key", "a", "n_words")
     return spread.mapInPandas(lambda parts: _by_key(parts, compare, by), "a bigint, b bigint").distinct()
 
 
+def _limit(similarity: float, one: int, other: int) -> int:
+    """Most edits between near duplicates of so many words."""
+    return int((1 - similarity) * max(one, other) + 1e-9)
+
+
+def possible(rows: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs (a, b) of ``pairs`` (materialised) that the counts of ``rows``, their :func:`sketches`, don't rule out; of a document with several texts, those of any."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+        column = lambda name: batch.column(name).to_pylist()
+        both = zip(column("left"), column("right"), column("left_words"), column("right_words"), strict=True)
+        stay = pa.array([least_distance(left, right) <= _limit(similarity, one, other) for left, right, one, other in both], pa.bool_())
+        yield {c: batch.column(c).filter(stay) for c in ("a", "b")}
+
+    own = only_ids(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).select("doc_id", "n_words", "counts").distinct()
+    right = own.select(F.col("doc_id").alias("b"), F.col("n_words").alias("right_words"), F.col("counts").alias("right"))
+    left = own.select(F.col("doc_id").alias("a"), F.col("n_words").alias("left_words"), F.col("counts").alias("left"))
+    return map_batches(pairs.join(right, "b").join(left, "a"), work, "a bigint, b bigint").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity) of the pairs (materialised) whose banded alignment over words is at least ``similarity``."""
 
@@ -400,7 +453,7 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
             out = {"a": [], "b": [], "similarity": []}
             for i, (a, b) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)):
                 longer = max(len(left.of(i)), len(right.of(i)))
-                d = distance_within(left.of(i), right.of(i), int((1 - similarity) * longer + 1e-9)) if longer else None
+                d = distance_within(left.of(i), right.of(i), _limit(similarity, longer, longer)) if longer else None
                 if d is not None:
                     out["a"].append(a)
                     out["b"].append(b)
@@ -432,9 +485,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, split: int
     different = materialize(rows.groupBy("whole", "n_words", "bins", "keys").agg(F.min("doc_id").alias("doc_id")), "omh-texts")
     found = materialize(candidates(different, similarity, split), "omh-found")
     pairs = materialize(found.where(f"kind = {_PAIR}").select("a", "b").distinct(), "omh-pairs")
-    near = materialize(verified(docs, pairs, similarity).unionByName(_copies(rows)), "omh-edges")
+    near = materialize(verified(docs, materialize(possible(rows, pairs, similarity), "omh-possible"), similarity).unionByName(_copies(rows)), "omh-edges")
     groups = connected_components(near, "a", "b")
-    rest = materialize(unproven(found.where(f"kind <> {_PAIR}"), groups, similarity).join(pairs, ["a", "b"], "left_anti"), "omh-rest")
+    rest = materialize(unproven(found.where(f"kind <> {_PAIR}"), groups, similarity, rows=rows).join(pairs, ["a", "b"], "left_anti"), "omh-rest")
     if not rest.isEmpty():  # members whose links to leaders proved nothing
         near = materialize(near.unionByName(verified(docs, rest, similarity)), "omh-all-edges")
         groups = connected_components(near, "a", "b")
