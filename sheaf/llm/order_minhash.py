@@ -362,20 +362,28 @@ def _linked(rows: DataFrame, similarity: float, held: int | None = None) -> Data
     return spread.mapInPandas(lambda it: _by_key(it, lambda pdf: link(pdf)[0], by, thin, held), _FOUND)
 
 
+def _shared(each: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of ``each`` whose key comes more than once, and all of a key in several parts; most keys come once, and what their texts are compared by needn't be sent."""
+    many = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where("n > 1 OR parts > 1" if "parts" in by else "n > 1")
+    return many.drop("n")
+
+
 def candidates(rows: DataFrame, similarity: float = SIMILARITY, split: int = SPLIT, held: int | None = None) -> DataFrame:
     """(kind, key, a, b, n_words, bins) from distinct texts' sketches: pairs a < b of a leader and a member that a shared order-MinHash vector
     and the bins suggest, linear in a bucket of copies; and the members a of each bucket that has two or more (of one in parts all rows, members or leaders)."""
-    each = rows.select(F.explode("keys").alias("key"), "doc_id", "n_words", "bins")
+    named = rows.withColumn("row", F.xxhash64("doc_id", "n_words", "bins", "keys"))
+    each = named.select(F.explode("keys").alias("key"), "row")
+    own = named.select("row", "doc_id", "n_words", "bins")
     hot: list[tuple[int, int]] = []
     if rows.count() > split:  # frequent-item counters of each partition, merged in two steps
         some = each.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).agg(F.expr(f"approx_top_k_accumulate(key, {COUNTERS})").alias("state"))
         top = some.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(state, {COUNTERS}), {HOT_VECTORS})").alias("top")).first()["top"]
         hot = [(r["item"], -(-r["count"] // split)) for r in top or () if r["count"] > split]
     if not hot:
-        return _linked(each.withColumn("parts", F.lit(1)).withColumn("part", F.lit(0)), similarity, held)
+        return _linked(_shared(each, ["key"]).withColumn("parts", F.lit(1)).withColumn("part", F.lit(0)).join(own, "row"), similarity, held)
     parts = rows.sparkSession.createDataFrame(hot, "key bigint, parts int")
-    cut = each.join(F.broadcast(parts), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    found = materialize(_linked(cut, similarity, held), "omh-parts")
+    cut = each.join(F.broadcast(parts), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    found = materialize(_linked(_shared(cut, ["key", "part", "parts"]).join(own, "row"), similarity, held), "omh-parts")
     leaders = found.where(f"kind = {_LEADER}").select("key", F.lit(0).alias("part"), F.lit(1).alias("parts"), F.col("a").alias("doc_id"), "n_words", "bins")
     return found.unionByName(_linked(leaders, similarity, held).where(f"kind = {_PAIR}"))
 
@@ -416,7 +424,7 @@ def unproven(members: DataFrame, groups: DataFrame, similarity: float = SIMILARI
     if rows is None:
         cut = cut.withColumn("counts", F.lit(None).cast("binary"))
     else:
-        own = only_ids(rows, members.select(F.col("a").alias("doc_id"))).select(F.col("doc_id").alias("a"), "n_words", "bins", "counts").distinct()
+        own = only_ids(rows, members.select(F.col("a").alias("doc_id"))).select(F.col("doc_id").alias("a"), "n_words", "bins", "counts").repartition("a", "n_words", "bins").distinct()
         cut = cut.join(own, ["a", "n_words", "bins"], "left")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least("block", o), F.greatest("block", o)))
     to = F.explode(F.when(F.col("blocks") > 1, tiles).otherwise(F.array("key"))).alias("key")
@@ -438,7 +446,7 @@ def possible(rows: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
         stay = pa.array([least_distance(left, right) <= _limit(similarity, one, other) for left, right, one, other in both], pa.bool_())
         yield {c: batch.column(c).filter(stay) for c in ("a", "b")}
 
-    own = only_ids(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).select("doc_id", "n_words", "counts").distinct()
+    own = only_ids(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).select("doc_id", "n_words", "counts").repartition("doc_id").distinct()
     right = own.select(F.col("doc_id").alias("b"), F.col("n_words").alias("right_words"), F.col("counts").alias("right"))
     left = own.select(F.col("doc_id").alias("a"), F.col("n_words").alias("left_words"), F.col("counts").alias("left"))
     return map_batches(pairs.join(right, "b").join(left, "a"), work, "a bigint, b bigint").distinct()

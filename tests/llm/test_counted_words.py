@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sheaf.llm import order_minhash as O
 
 
@@ -55,3 +57,22 @@ def test_every_text_of_a_repeated_document_counts(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a bigint, b bigint")
     assert [tuple(r) for r in O.possible(O.sketches(rows), pairs).collect()] == [(1, 2)]
     assert [tuple(r) for r in O.near_duplicates(rows).collect()] == [(2, 1, 0.9)]
+
+
+def test_sketches_are_sent_for_shared_keys_alone(spark, monkeypatch):
+    """The pipeline's stage: of texts that share no key nothing is sent to be compared, and the copies among them go; so too where a key is in parts."""
+    sent = []
+    linked = O._linked
+    monkeypatch.setattr(O, "_linked", lambda rows, *rest: sent.extend(rows.groupBy("key", "parts").count().collect()) or linked(rows, *rest))
+    rng = random.Random(54)
+    docs = [" ".join(_unique(rng, 80)) for _ in range(100)]
+    docs += [" ".join(_unique(rng, 1) + docs[i].split(" ")[1:]) for i in range(10)]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, table, "")
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(100))
+    assert sent and all(r["count"] > 1 for r in sent)
+    rows = O.sketches(table).withColumn("keys", F.array_append("keys", F.lit(1).cast("bigint"))).cache()
+    whole = {(r["a"], r["b"]) for r in O.candidates(rows).where("kind = 0").collect()}
+    sent.clear()
+    assert {(i, 100 + i) for i in range(10)} <= {(r["a"], r["b"]) for r in O.candidates(rows, split=20).where("kind = 0").collect()} & whole
+    assert {r["key"] for r in sent if r["parts"] > 1} == {1} and all(r["count"] > 1 or r["key"] == 1 for r in sent)
