@@ -174,6 +174,16 @@ def by_popularity(candidates: DataFrame, popularity: DataFrame) -> DataFrame:
     return best(candidates.join(popularity, "dst", "left").na.fill(0, ["popularity"]), "popularity").select("src", "dst", F.lit(1.0).alias("score"))
 
 
+def popular_on_key(left: DataFrame, right: DataFrame, keys: list[str], popularity: DataFrame) -> DataFrame:
+    """:func:`by_popularity` where a source's candidates are the rows of equal keys; left (src, keys), right (dst, keys).
+
+    Sources of one key have the same candidates, so the best is found once for each key, and no pairs are made.
+    """
+    order = F.struct((-F.coalesce("popularity", F.lit(0))).alias("n"), "dst")
+    top = right.join(popularity, "dst", "left").groupBy(*keys).agg(F.min(order).alias("x"))
+    return left.join(top, keys).groupBy("src").agg(F.min("x").alias("x")).select("src", "x.dst", F.lit(1.0).alias("score"))
+
+
 def ordered_pairs(pairs: DataFrame, order: str) -> DataFrame:
     """(a, b, score) with a < b, no pair of one with itself, the last score by ``order`` kept (the highest of equals)."""
     rows = pairs.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.struct(F.col(order).alias("at"), "score").alias("x"))

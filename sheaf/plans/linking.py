@@ -245,11 +245,9 @@ def rerank_best_entity(spark, sf_dir):
 @query("popular_candidate", """WITH pop AS (SELECT l_partkey AS dst, count(*) AS popularity FROM lineitem GROUP BY 1), cand AS (SELECT o.p_partkey AS src, e.p_partkey AS dst FROM part o JOIN part e ON o.p_brand = e.p_brand AND o.p_type = e.p_type)
 SELECT src, dst, 1.0::DOUBLE AS score FROM (SELECT c.src, c.dst, row_number() OVER (PARTITION BY c.src ORDER BY coalesce(popularity, 0) DESC, c.dst) AS r FROM cand c LEFT JOIN pop ON pop.dst = c.dst) x WHERE r = 1""")
 def popular_candidate(spark, sf_dir):
-    part = V.table(spark, sf_dir, "part")
-    key = ["p_brand", "p_type"]
-    cand = part.select(F.col("p_partkey").alias("src"), *key).join(part.select(F.col("p_partkey").alias("dst"), *key), key).select("src", "dst")
+    part, key = V.table(spark, sf_dir, "part"), ["p_brand", "p_type"]
     pop = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("dst")).agg(F.count(F.lit(1)).alias("popularity"))
-    return L.by_popularity(cand, pop)
+    return L.popular_on_key(part.select(F.col("p_partkey").alias("src"), *key), part.select(F.col("p_partkey").alias("dst"), *key), key, pop)
 
 
 @query("ordered_candidates", "SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, CAST(max(struct_pack(a := l_orderkey * 10 + l_linenumber, s := l_quantity)).s AS DOUBLE) AS score FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2")
