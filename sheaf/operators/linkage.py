@@ -5,7 +5,7 @@ Tables: mentions and entities (id, label); candidates (src, dst, score).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import label_tokens, regular_spaces
+from sheaf.session import materialize
 
 K1, B = 1.5, 0.75
 
@@ -164,6 +165,20 @@ def rerank(candidates: DataFrame, left: DataFrame, right: DataFrame, scorer=jacc
     return best(scored) if best_only else scored
 
 
+def rerank_on_key(mentions: DataFrame, entities: DataFrame, key: Callable[[Column], Column], scorer: Callable[[Column, Column], Column] = jaccard) -> DataFrame:
+    """:func:`rerank` where a mention's candidates are the entities whose label has the same key; mentions, entities (id, label).
+
+    A score depends on the two labels alone: distinct labels are scored, the best entity of each is found once, and mentions look it up by label.
+    An id with several labels takes the best over them all.
+    """
+    labels = mentions.select("label").distinct().select("label", key(F.col("label")).alias("k"))
+    named = entities.groupBy("label").agg(F.min("id").alias("dst")).select("dst", F.col("label").alias("other"), key(F.col("label")).alias("k"))
+    scored = labels.join(named, "k").select("label", "dst", scorer(F.col("label"), F.col("other")).alias("score"))
+    top = materialize(scored.groupBy("label").agg(F.min(F.struct((-F.col("score")).alias("s"), "dst")).alias("x")), "best")
+    found = mentions.select(F.col("id").alias("src"), "label").join(top, "label").groupBy("src").agg(F.min("x.s").alias("s"), F.min_by("x.dst", "x").alias("dst"))
+    return found.select("src", "dst", (-F.col("s")).alias("score"))
+
+
 def best(candidates: DataFrame, weight: str = "score") -> DataFrame:
     order = Window.partitionBy("src").orderBy(F.desc(weight), "dst")
     return candidates.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")

@@ -236,10 +236,8 @@ def cluster_ids(spark, sf_dir):
 sc AS (SELECT src, dst, len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))) AS score FROM cand)
 SELECT src, dst, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM sc) x WHERE r = 1""")
 def rerank_best_entity(spark, sf_dir):
-    m, e = mentions(spark, sf_dir).select("id", "label").distinct(), entities(spark, sf_dir)
-    first = lambda c: F.split(c, " ")[0]
-    cand = m.select(F.col("id").alias("src"), first("label").alias("k")).join(e.select(F.col("id").alias("dst"), first("label").alias("k")), "k").select("src", "dst")
-    return L.rerank(cand, m, e).withColumn("score", F.round("score", 6))
+    m, e = mentions(spark, sf_dir).select("id", "label"), entities(spark, sf_dir)
+    return L.rerank_on_key(m, e, lambda c: F.split(c, " ")[0]).withColumn("score", F.round("score", 6))
 
 
 @query("popular_candidate", """WITH pop AS (SELECT l_partkey AS dst, count(*) AS popularity FROM lineitem GROUP BY 1), cand AS (SELECT o.p_partkey AS src, e.p_partkey AS dst FROM part o JOIN part e ON o.p_brand = e.p_brand AND o.p_type = e.p_type)

@@ -32,3 +32,16 @@ def test_popular_on_key_makes_no_pairs(spark):
     assert most_rows(found) < 10_000
     want = L.by_popularity(left.join(right, ["k", "m"]).select("src", "dst"), pop)
     assert most_rows(want) > 500_000 and sorted(found.collect()) == sorted(want.collect()) and found.columns == want.columns
+
+
+def test_rerank_on_key_scores_labels_once(spark):
+    words = "red green blue".split()
+    labels = [f"{a} {b} {i % 3}" for i, (a, b) in enumerate((a, b) for a in words for b in "bolt ring nut".split())]
+    mentions = spark.createDataFrame([(i, labels[i % 9]) for i in range(900)] + [(5, labels[3]), (6, "unseen word"), (7, None), (8, "red cap 7")], "id long, label string")
+    entities = spark.createDataFrame([(100 + i, x) for i, x in enumerate(reversed(labels))] + [(50, labels[4]), (60, "green nut 9")], "id long, label string")
+    first = lambda c: F.split(c, " ")[0]
+    found = L.rerank_on_key(mentions, entities, first)
+    assert most_rows(found) < 2000
+    both = mentions.distinct().select(F.col("id").alias("src"), F.col("label").alias("a"), first("label").alias("k")).join(entities.select(F.col("id").alias("dst"), F.col("label").alias("b"), first("label").alias("k")), "k")
+    want = L.best(both.select("src", "dst", L.jaccard(F.col("a"), F.col("b")).alias("score")))
+    assert most_rows(want) > 2500 and sorted(found.collect()) == sorted(want.collect())
