@@ -10,8 +10,11 @@ from contextlib import contextmanager
 from html import unescape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from sheaf.session import materialize
 
@@ -19,6 +22,7 @@ META_SECTIONS = frozenset("see also|references|external links|further reading|no
 _LINK = re.compile(r"\[\[([^\[\]|]+)(?:\|([^\[\]]*))?\]\]")
 _LANGUAGE = re.compile(r"^:?[a-z]{2,3}:(?=\S)")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
+_MARKED = re.compile(r"[<{\[&]|''")
 
 
 def link_target(target: str) -> str:
@@ -29,6 +33,8 @@ def link_target(target: str) -> str:
 
 def plain(markup: str) -> str:
     """Text of markup: links as their labels; templates, references, tags and emphasis gone."""
+    if not _MARKED.search(markup):
+        return " ".join(markup.split())
     text = re.sub(r"<ref[^>/]*/>|<ref[^>]*>.*?</ref>|<!--.*?-->", "", markup, flags=re.S)
     n = 1
     while n:  # innermost first
@@ -145,6 +151,8 @@ def parse_page(title: str, markup: str) -> list[dict]:
 ITEMS = "page string, listing int, kind string, top_section string, section string, item int, cell int, depth int, tokens array<string>, mentions array<struct<start:int,stop:int,target:string>>"
 #: Seconds a page may take, as in the pipeline this follows.
 SECONDS = 60.0
+#: Item rows that go into one Arrow batch, but for a page's own, which stay together.
+BATCH_ROWS = 1000
 
 
 class PageTimeout(Exception):
@@ -173,14 +181,17 @@ def _at_most(seconds: float) -> Iterator[None]:
 def parsed_pages(pages: DataFrame, seconds: float = SECONDS) -> DataFrame:
     """Item rows (see ITEMS) of pages (title, text) with a column ``error``; a page that can't be parsed, or not in time, has one row with only that.
 
-    Pages with a null title or text have none.
+    Pages with a null title or text have none. Rows leave in Arrow batches once there are BATCH_ROWS, so a task holds its largest page's and few others.
     """
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in ITEMS.split(", ")] + ["error"]
-        for pdf in parts:
-            rows = []
-            for title, text in zip(pdf["title"], pdf["text"], strict=True):
+    schema = to_arrow_schema(_parse_datatype_string(ITEMS + ", error string"))
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+        rows: list[dict] = []
+        for batch in parts:
+            for title, text in zip(*batch.columns, strict=True):
+                title, text = title.as_py(), text.as_py()  # noqa: PLW2901
                 if text is None or title is None:
                     continue
                 try:
@@ -188,10 +199,13 @@ def parsed_pages(pages: DataFrame, seconds: float = SECONDS) -> DataFrame:
                         rows += [{"page": title, **r} for r in parse_page(title, text)]
                 except (PageTimeout, RecursionError, ValueError, IndexError, KeyError) as e:
                     rows.append({"page": title, "error": type(e).__name__})
-            frame = pd.DataFrame(rows, columns=names, dtype=object)
-            yield frame.where(frame.notna(), None)
+                if len(rows) >= BATCH_ROWS:
+                    yield pack(rows)
+                    rows = []
+        if rows:
+            yield pack(rows)
 
-    return pages.select("title", "text").mapInPandas(work, ITEMS + ", error string")
+    return pages.select("title", "text").mapInArrow(work, ITEMS + ", error string")
 
 
 def parse_pages(pages: DataFrame, seconds: float = SECONDS) -> DataFrame:

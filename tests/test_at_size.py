@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sheaf.functions import wikitext as W
 from sheaf.operators import linkage as L
 
 
@@ -45,3 +46,21 @@ def test_rerank_on_key_scores_labels_once(spark):
     both = mentions.distinct().select(F.col("id").alias("src"), F.col("label").alias("a"), first("label").alias("k")).join(entities.select(F.col("id").alias("dst"), F.col("label").alias("b"), first("label").alias("k")), "k")
     want = L.best(both.select("src", "dst", L.jaccard(F.col("a"), F.col("b")).alias("score")))
     assert most_rows(want) > 2500 and sorted(found.collect()) == sorted(want.collect())
+
+
+def test_parsed_pages_leave_a_few_at_a_time(spark, monkeypatch):
+    held = spark.sparkContext.accumulator(0)
+
+    def parse(title, markup):
+        import gc
+
+        held.add(max(0, sum(isinstance(x, dict) and "mentions" in x for x in gc.get_objects()) - 2 * W.BATCH_ROWS))
+        return [{"listing": 0, "kind": "enum", "top_section": "", "section": "", "item": i, "cell": 0, "depth": 1, "tokens": [markup], "mentions": [{"start": 0, "stop": 1, "target": "T"}]} for i in range(500)]
+
+    monkeypatch.setattr(W, "parse_page", parse)
+    pages = spark.range(40, numPartitions=1).select(F.col("id").cast("string").alias("title"), F.lit("x").alias("text"))
+    assert W.parse_pages(pages).count() == 40 * 500 and held.value == 0
+
+
+def test_plain_text_without_markup_is_as_before():
+    assert W.plain("  a b\x1c \t c 'd' ") == "a b c 'd'" and W.plain("''x'' & y") == "x & y"
