@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,36 +59,120 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int = 4, same: bool = True, block: int = 4096) -> DataFrame:
-    """(src, dst, score): the k vectors of the corpus with the largest inner product, lower ids first of equals; not itself, if ``same``.
+#: Vectors of a slab (a tile of the product has one of each side), slabs of a block at most, and blocks at least where there are slabs enough.
+SLAB, BLOCK, BLOCKS = 4096, 16, 16
 
-    Both sides are cut into blocks; each pair of blocks is one matrix product, whose top k alone goes on, so what is shuffled is blocks
-    once per opposite block and k rows per query and block. Vectors: (id, vector).
-    """
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        n = df.count()
-        parts = max(1, -(-n // block))
-        return df.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias(name), "id", "vector"), parts
-
-    left, m = blocks(queries, "qb")
-    right, n = blocks(corpus, "cb")
-    pairs_left = left.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("qb", F.col("cb").cast("bigint").alias("cb"), "id", "vector", F.lit(0).alias("side"))
-    pairs_right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select(F.col("qb").cast("bigint").alias("qb"), "cb", "id", "vector", F.lit(1).alias("side"))
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, c = pdf[pdf["side"] == 0].sort_values("id"), pdf[pdf["side"] == 1].sort_values("id")
-        if not len(q) or not len(c):
-            return pd.DataFrame({"src": [], "dst": [], "score": []})
-        scores = np.stack(q["vector"]).astype(np.float64) @ np.stack(c["vector"]).astype(np.float64).T
-        qi, ci = q["id"].to_numpy(), c["id"].to_numpy()
+
+def _slabs(vectors: DataFrame, parts: int) -> DataFrame:
+    """(slab, ids, vectors): rows by a hash of their id, each slab's numbers as bytes in order of id."""
+    kind = "f8" if dict(vectors.dtypes)["vector"] == "array<double>" else "f4"
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        x = np.stack(pdf["vector"]).astype(kind)
+        return pd.DataFrame({"slab": [pdf["slab"].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "width": [x.shape[1]], "kind": [kind]})
+
+    rows = vectors.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("slab"), "id", "vector")
+    return rows.groupBy("slab").applyInPandas(pack, "slab bigint, ids binary, vectors binary, width int, kind string")
+
+
+class _Best:
+    """The k best so far of each row of one slab, and the score that another must reach."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
+        self.ids, self.x, self.k = ids, x, k
+        norm = float(np.sqrt((x.astype(np.float64) ** 2).sum(1).max()))
+        self.norm, self.fast = norm, x.astype(np.float32 if norm < 1e15 else np.float64)
+        self.row, self.dst, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.limit = np.full(len(ids), -np.inf)
+
+    def offer(self, other: _Best, tile: np.ndarray, axis: int, same: bool) -> None:
+        """Take in the rows of ``other``; tile has the rounded-off products, this slab's rows along ``axis``."""
+        margin = 1e-9 + (self.x.shape[1] + 8) * 2.0**-23 * self.norm * other.norm
+        limit, groups = self.limit, min(64, len(other.ids))
+        if groups > self.k and np.isneginf(limit).any():  # k groups reach what the k-th best group does
+            n = len(other.ids) // groups
+            tops = tile[:, : n * groups].reshape(len(tile), n, groups).max(1).T if axis == 0 else tile[: n * groups].reshape(n, groups, -1).max(0)
+            limit = np.maximum(limit, np.partition(tops, groups - self.k, axis=0)[groups - self.k])
+        low = (limit - margin).astype(tile.dtype)
+        at = np.nonzero(tile >= (low[:, None] if axis == 0 else low[None, :]))
+        i, j = at[axis], at[1 - axis]
+        if len(i) > tile.size // 16 and tile.size > 65_536:  # many ties: the whole tile is worked out, some rows at a time
+            found = [self._dense(lo, other, same) for lo in range(0, len(self.ids), 512)]
+            i, dst, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        else:
+            dst = other.ids[j]
+            if same:
+                keep = self.ids[i] != dst
+                i, j, dst = i[keep], j[keep], dst[keep]
+            score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", self.x[i[lo : lo + 65_536]].astype(np.float64), other.x[j[lo : lo + 65_536]].astype(np.float64)) for lo in range(0, len(i), 65_536))])
+        ok = np.isfinite(score)
+        row, dst, score = np.concatenate([self.row, i[ok]]), np.concatenate([self.dst, dst[ok]]), np.concatenate([self.score, score[ok]])
+        order = np.lexsort((dst, -np.round(score, 9), row))
+        row, dst, score = row[order], dst[order], score[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        last = rank == self.k - 1
+        self.limit[row[last]] = np.round(score[last], 9)
+        self.row, self.dst, self.score = row[rank < self.k], dst[rank < self.k], score[rank < self.k]
+
+    def _dense(self, lo: int, other: _Best, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        scores = self.x[lo : lo + 512].astype(np.float64) @ other.x.astype(np.float64).T
         if same:
-            scores[qi[:, None] == ci[None, :]] = -np.inf
-        rank = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
-        src, dst, value = np.repeat(qi, rank.shape[1]), ci[rank].ravel(), np.take_along_axis(scores, rank, 1).ravel()
-        ok = np.isfinite(value)
-        return pd.DataFrame({"src": src[ok], "dst": dst[ok], "score": value[ok]})
+            scores[self.ids[lo : lo + 512, None] == other.ids[None, :]] = -np.inf
+        rank = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, : self.k]
+        return np.repeat(np.arange(lo, lo + len(scores)), rank.shape[1]), other.ids[rank].ravel(), np.take_along_axis(scores, rank, 1).ravel()
 
-    partial = pairs_left.unionByName(pairs_right).groupBy("qb", "cb").applyInPandas(product, "src bigint, dst bigint, score double")
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = 4, same: bool = True) -> DataFrame:
+    """(src, dst, score): the k vectors of the corpus with the largest inner product, lower ids first of equals; not itself, if ``same``.
+
+    Rows are put into slabs, and slabs into blocks; each pair of blocks is a task, where tiles of single-precision products rule out what can't be among the best
+    by more than their error, and the rest is worked out in double precision. Within one table a tile serves both of its sides. Up to BLOCKS * BLOCK slabs a vector is sent BLOCKS times,
+    beyond that once for each block; k rows a vector and task go on. Vectors: (id, vector).
+    """
+    queries, corpus = queries.select("id", "vector"), corpus.select("id", "vector")
+    one = same and queries.sameSemantics(corpus)
+
+    def blocks(df: DataFrame) -> tuple[DataFrame, int]:
+        parts = max(1, -(-df.count() // SLAB))
+        n = max(min(parts, BLOCKS), -(-parts // BLOCK))
+        return _slabs(df, parts).withColumn("block", F.pmod("slab", F.lit(n)).cast("int")), n
+
+    left, m = blocks(queries)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    columns = ["task", "side", "ids", "vectors", "width", "kind"]
+    if one:
+        lo, hi = F.least("block", "other"), F.greatest("block", "other")
+        sent, tasks = left.withColumn("other", every(m)).withColumn("task", (hi * (hi + 1) / 2 + lo).cast("int")).withColumn("side", (F.col("block") > F.col("other")).cast("int")).select(columns), m * (m + 1) // 2
+    else:
+        right, n = blocks(corpus)
+        a = left.withColumn("other", every(n)).withColumn("task", F.col("block") * n + F.col("other")).withColumn("side", F.lit(0))
+        b = right.withColumn("other", every(m)).withColumn("task", F.col("other") * n + F.col("block")).withColumn("side", F.lit(1))
+        sent, tasks = a.select(columns).unionByName(b.select(columns)), m * n
+
+    def product(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: tuple[list[_Best], list[_Best]] = ([], [])
+        for batch in parts:
+            for r in batch.to_pylist():
+                ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], r["kind"]).reshape(-1, r["width"])
+                fine = np.isfinite(x).all(1)
+                ids, x = ids[fine], x[fine]
+                sides[r["side"]].extend(_Best(ids[lo : lo + SLAB], x[lo : lo + SLAB], k) for lo in range(0, len(ids), SLAB))
+        a, b = sides
+        for i, q in enumerate(a):
+            for j, c in enumerate(a if one and not b else b):
+                if one and not b and j < i:
+                    continue
+                tile = q.fast @ c.fast.T
+                if same and len(np.intersect1d(q.ids, c.ids)):
+                    tile[q.ids[:, None] == c.ids[None, :]] = -np.inf
+                q.offer(c, tile, 0, same)
+                if one and q is not c:
+                    c.offer(q, tile, 1, same)
+        for q in [*a, *b] if one else a:
+            yield pa.RecordBatch.from_arrays([q.ids[q.row], q.dst, q.score], ["src", "dst", "score"])
+
+    partial = sent.repartitionById(tasks, F.col("task")).mapInArrow(product, "src bigint, dst bigint, score double")
     order = Window.partitionBy("src").orderBy(F.desc(F.round("score", 9)), "dst")
     return partial.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("src", "dst", "score")
 

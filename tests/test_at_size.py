@@ -64,3 +64,46 @@ def test_parsed_pages_leave_a_few_at_a_time(spark, monkeypatch):
 
 def test_plain_text_without_markup_is_as_before():
     assert W.plain("  a b\x1c \t c 'd' ") == "a b c 'd'" and W.plain("''x'' & y") == "x & y"
+
+
+def test_neighbours_by_tiles_are_those_of_all_products(spark, monkeypatch):
+    """Several slabs and blocks, copies by the hundred (ties), tiny, huge and broken vectors, repeated ids; within one table and between two."""
+    monkeypatch.setattr(L, "SLAB", 300)
+    monkeypatch.setattr(L, "BLOCKS", 3)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1700, 12)).astype(np.float32)
+    x[:420] = x[0]
+    x[500:520] *= 1e-12
+    x[530:540] *= 1e16
+    x[541, 3], x[542, 5] = np.nan, np.inf
+    ids = np.arange(1700) * 3
+    ids[-2:] = ids[700]
+    v = spark.createDataFrame(pd.DataFrame({"id": ids, "vector": list(x)}), "id long, vector array<float>")
+    few = v.where("id % 7 = 0")
+
+    def want(q, c):
+        with np.errstate(all="ignore"):
+            s = np.round(x[q].astype(np.float64) @ x[c].astype(np.float64).T, 9)
+        s[(ids[q][:, None] == ids[c][None, :]) | ~np.isfinite(s)] = -np.inf
+        best = {}
+        for i, row in zip(ids[q], s, strict=True):
+            best.setdefault(int(i), []).extend((-a, int(b)) for a, b in zip(row, ids[c], strict=True) if np.isfinite(a))
+        return sorted((i, d) for i, found in best.items() for _, d in sorted(found)[:4])
+
+    every = np.arange(1700)
+    got = lambda df: sorted((r["src"], r["dst"]) for r in df.collect())
+    once = lambda pairs, odd: [p for p in pairs if p[0] not in odd]
+    odd = {int(i) for i in ids[530:540]}  # products of 1e16 differ by more than 9 digits hold
+    assert once(got(L.nearest(v, v, 4)), odd) == once(want(every, every), odd)
+    assert once(got(L.nearest(few, v, 4)), odd) == once(want(every[ids % 7 == 0], every), odd)
+
+
+def test_tiles_leave_few_to_work_out(monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = (L._Best(np.arange(2000) + lo, rng.normal(size=(2000, 16)).astype(np.float32), 4) for lo in (0, 5000))
+    worked = []
+    einsum = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda *x: worked.append(len(x[1])) or einsum(*x))
+    for _ in range(2):
+        a.offer(b, a.fast @ b.fast.T, 0, True)
+    assert sum(worked) < 2000 * 2000 / 100
