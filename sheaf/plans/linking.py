@@ -11,6 +11,7 @@ from sheaf.operators import metrics as M
 from sheaf.operators.components import connected_components
 from sheaf.plans import views as V
 from sheaf.plans.registry import query
+from sheaf.session import materialize
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 
@@ -204,7 +205,7 @@ def components(spark, sf_dir):
 
 
 def _cluster_input(spark, sf_dir):
-    mm = _pairs(spark, sf_dir)
+    mm = materialize(_pairs(spark, sf_dir), "pairs")  # read several times by what follows
     v = vectors(spark, sf_dir)
     first = v.groupBy("label").agg(F.min("id").alias("dst")).select("dst")  # the first vector of each label stands for an entity
     return mm, mm.select("dst", "src", "score").join(first, "dst", "left_semi").select("src", "dst", "score"), v.select("id")
@@ -266,7 +267,7 @@ SELECT a.mention AS src, b.mention AS dst, 1 AS label FROM al a JOIN al b ON a.e
 UNION ALL SELECT src, dst, 0 FROM (SELECT k.src, k.dst, row_number() OVER (PARTITION BY k.src ORDER BY k.score DESC, k.dst) AS r FROM knn k JOIN al a ON a.mention = k.src JOIN al b ON b.mention = k.dst WHERE a.entity <> b.entity) x WHERE r <= 1""")
 def training_pairs(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    near = L.nearest(v.select("id", "vector"), v.select("id", "vector"), 4)
+    near = L.nearest(v, v, 4)
     return L.training_pairs(v.select(F.col("id").alias("mention"), F.col("label").alias("entity")), near)
 
 
@@ -338,8 +339,7 @@ c AS (SELECT (SELECT count(*) FROM p) AS predicted, (SELECT count(*) FROM g) AS
 SELECT predicted, actual, correct, round(correct / predicted, 6) AS precision, round(correct / actual, 6) AS recall, round(2 * (correct / predicted) * (correct / actual) / (correct / predicted + correct / actual), 6) AS f1 FROM c""")
 def precision_recall(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    gold = v.select(F.col("id").alias("src"), "label").join(v.select(F.col("id").alias("dst"), "label"), "label").where("src <> dst")
-    out = M.precision_recall(L.nearest(v.select("id", "vector"), v.select("id", "vector"), 4), gold, ["src", "dst"])
+    out = M.precision_recall_of_labels(L.nearest(v, v, 4), v)
     return out.select("predicted", "actual", "correct", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -373,7 +373,7 @@ def evaluation_parts(spark, sf_dir):
     from sheaf.operators import evaluation as E
 
     v = vectors(spark, sf_dir)
-    near = L.nearest(v.select("id", "vector"), v.select("id", "vector"), 4)
+    near = L.nearest(v, v, 4)
     named = near.join(v.select(F.col("id").alias("dst"), F.col("label").cast("bigint").alias("entity")), "dst").select("src", F.col("entity").alias("dst"))
     scores = E.mention_scores(named, _alignment(spark, sf_dir))
     return scores.select("part", "predicted", "actual", "correct", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])

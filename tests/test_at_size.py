@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import wikitext as W
 from sheaf.operators import linkage as L
+from sheaf.operators import metrics as M
 
 
 def most_rows(df) -> int:
@@ -107,3 +108,27 @@ def test_tiles_leave_few_to_work_out(monkeypatch):
     for _ in range(2):
         a.offer(b, a.fast @ b.fast.T, 0, True)
     assert sum(worked) < 2000 * 2000 / 100
+
+
+def test_precision_recall_of_labels_lists_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    labels = spark.createDataFrame([(int(i), None if i % 50 == 0 else int(i % 3)) for i in range(1200)], "id long, label int")
+    pairs = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 1220, (900, 2))] + [(7, 10)] * 2, "src long, dst long")
+    found = M.precision_recall_of_labels(pairs, labels)
+    assert most_rows(found) < 5000
+    gold = labels.withColumnRenamed("id", "src").join(labels.withColumnRenamed("id", "dst"), "label").where("src <> dst")
+    want = M.precision_recall(pairs, gold, ["src", "dst"])
+    assert most_rows(want) > 100_000 and found.collect() == want.collect() and found.columns == want.columns
+    none = M.precision_recall_of_labels(pairs.where("false"), labels.where("false")).first()
+    assert tuple(none) == (0, 0, 0, 0.0, 0.0, 0.0)
+
+
+def test_matching_pairs_of_a_common_entity_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARE", 50)
+    alignment = spark.createDataFrame([(i, 1 if i < 400 else 2) for i in range(420)] + [(500, None)], "mention long, entity int")
+    found = L.training_pairs(alignment, spark.createDataFrame([(1, 410, 0.5), (1, 411, 0.5), (2, 3, 0.9)], "src long, dst long, score double"))
+    rows = found.withColumn("p", F.spark_partition_id()).collect()
+    want = [(a, b, 1) for lo, hi in ((0, 400), (400, 420)) for a in range(lo, hi) for b in range(a + 1, hi)] + [(1, 410, 0)]
+    assert sorted(tuple(r)[:3] for r in rows) == sorted(want)
+    groups = L.matching_pairs(alignment).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in groups) < 0.6 * len(want)
