@@ -299,6 +299,24 @@ def nil_consistent(pairs: DataFrame, known: DataFrame, nil: bool | None) -> Data
     return pairs.join(flags.withColumnRenamed("id", "src"), "src", how).join(flags.withColumnRenamed("id", "dst"), "dst", how)
 
 
+#: Mentions of an entity whose pairs with all its others are one group of the join.
+SHARE = 1000
+
+
+def matching_pairs(alignment: DataFrame) -> DataFrame:
+    """(src, dst), src < dst: all pairs of mentions of one entity; alignment (mention, entity).
+
+    An entity's mentions are dealt into shares of about SHARE, each of which meets all of the entity's mentions by itself, so a common entity is many tasks' work.
+    """
+    shares = alignment.groupBy("entity").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
+    rows = alignment.join(shares, "entity")
+    a = rows.select(F.col("mention").alias("src"), "entity", F.pmod(F.xxhash64("mention"), "shares").cast("int").alias("share"))
+    b = rows.select(F.col("mention").alias("dst"), "entity", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    n = int(alignment.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given outright, so that small partitions of many pairs aren't put together
+    keys = ["entity", "share"]
+    return a.repartition(n, *keys).join(b.repartition(n, *keys).hint("shuffle_hash"), keys).where("src < dst").select("src", "dst")
+
+
 def training_pairs(alignment: DataFrame, candidates: DataFrame, negatives: int = 1, share: float = 1.0, seed: int = 310) -> DataFrame:
     """(src, dst, label): the matching pairs of mentions, a hashed share of them, and up to ``negatives`` wrong candidates of each source.
 
@@ -306,7 +324,9 @@ def training_pairs(alignment: DataFrame, candidates: DataFrame, negatives: int =
     """
     a = alignment.select(F.col("mention").alias("src"), "entity")
     b = alignment.select(F.col("mention").alias("dst"), "entity")
-    positive = a.join(b, "entity").where("src < dst").where(F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).select("src", "dst")
+    positive = matching_pairs(alignment.select("mention", "entity"))
+    if share < 1:
+        positive = positive.where(F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
     wrong = candidates.join(a, "src").join(b.withColumnRenamed("entity", "other"), "dst").where("entity <> other")
     order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
     negative = wrong.withColumn("r", F.row_number().over(order)).where(F.col("r") <= negatives).select("src", "dst")
