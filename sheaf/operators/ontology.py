@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,20 +156,32 @@ def merge_listing_types(found: DataFrame, known: DataFrame, disjoint: DataFrame)
     rows = found.join(conflict, F.col("type") == F.col("a"), "left").drop("a").withColumn("is_known", F.lit(0))
     old = known.join(conflict, F.col("type") == F.col("a"), "left").select("ent", F.lit(None).cast("string").alias("origin"), "type", F.lit(0).cast("bigint").alias("n"), "against", F.lit(1).alias("is_known"))
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(rows: list[dict]) -> list[str]:
         blocked: set[str] = set()
-        fresh = pdf[pdf["is_known"] == 0]
-        for a in pdf.loc[pdf["is_known"] == 1, "against"]:
-            blocked.update(a.split("\n") if a is not None else ())
-        sums = fresh.groupby("type")["n"].sum()
-        against = {t: a for t, a in zip(fresh["type"], fresh["against"], strict=True)}
-        for t in sorted(sums.index, key=lambda t: (-sums[t], t)):
+        sums: dict[str, int] = {}
+        against: dict[str, str | None] = {}
+        for r in rows:
+            if r["is_known"]:
+                blocked.update(r["against"].split("\n") if r["against"] is not None else ())
+            elif r["type"] is not None:
+                sums[r["type"]] = sums.get(r["type"], 0) + (r["n"] or 0)
+                against[r["type"]] = r["against"]
+        for t in sorted(sums, key=lambda t: (-sums[t], t)):
             if t not in blocked:
                 blocked.update(against[t].split("\n") if against[t] is not None else ())
-        bad = set(fresh.loc[fresh["type"].isin(blocked), "origin"])
-        types = sorted(set(fresh.loc[~fresh["origin"].isin(bad), "type"]))
-        return pd.DataFrame([(pdf["ent"].iloc[0], t) for t in types], columns=["ent", "type"], dtype=object)
+        fresh = [r for r in rows if not r["is_known"]]
+        bad = {r["origin"] for r in fresh if r["type"] in blocked}
+        return sorted({r["type"] for r in fresh if r["origin"] not in bad and r["type"] is not None})
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000).to_pylist()
+                found = [(r["ent"], t) for r in part for t in merge(r["rows"])]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], ["ent", "type"])
 
     columns = ["ent", "origin", "type", "n", "against", "is_known"]
     fresh = rows.select("ent", F.col("origin").cast("string").alias("origin"), "type", F.col("n").cast("bigint").alias("n"), "against", "is_known")
-    return fresh.select(columns).unionByName(old.join(found.select("ent").distinct(), "ent", "left_semi").select(columns)).groupBy("ent").applyInPandas(merge, "ent string, type string")
+    every = fresh.select(columns).unionByName(old.join(found.select("ent").distinct(), "ent", "left_semi").select(columns))
+    # thousands of entities go to Python at once: most have a few rows
+    return every.groupBy("ent").agg(F.collect_list(F.struct(*columns[1:])).alias("rows")).mapInArrow(work, "ent string, type string")
