@@ -147,8 +147,11 @@ def new_rows(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
 def type_distribution(types: DataFrame, paths: DataFrame) -> DataFrame:
     """(type, n): entities per type and its ancestors, one type an entity (the one with the least hash, so the choice is stable)."""
     one = types.groupBy("ent").agg(F.min_by("type", F.xxhash64("ent", "type")).alias("type"))
-    every = one.join(paths, F.col("type") == F.col("descendant")).select("ent", F.col("ancestor").alias("type")).unionByName(one)
-    return every.distinct().groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    # each entity has one type here, so types are counted before they are carried up
+    direct = one.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    up = paths.select("descendant", "ancestor").where("ancestor <> descendant").distinct()
+    every = direct.join(up, F.col("type") == F.col("descendant")).select(F.col("ancestor").alias("type"), "n").unionByName(direct)
+    return every.groupBy("type").agg(F.sum("n").alias("n"))
 
 
 def sunburst(counts: dict[str, int], children: dict[str, list[str]], node: str, level: int = 0, shares: tuple[float, ...] = (0.005, 0.1, 0.15)) -> dict:
