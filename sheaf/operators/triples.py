@@ -103,9 +103,13 @@ def category_type_frequency(members: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def category_property_frequency(members: DataFrame, props: DataFrame) -> DataFrame:
-    """(cat, pred, value, freq): share of a category's members that have a property value."""
+    """(cat, pred, value, freq): share of a category's members that have a property value.
+
+    Members and properties are made distinct first, so an entity comes once for each value and rows are counted as they are joined.
+    """
     size = members.groupBy("cat").agg(F.count(F.lit(1)).alias("size"))
-    return members.join(props, "ent").groupBy("cat", "pred", "value").agg(F.countDistinct("ent").alias("n")).join(size, "cat").select("cat", "pred", "value", (F.col("n") / F.col("size")).alias("freq"))
+    once = members.select("cat", "ent").where("ent IS NOT NULL").distinct().join(props.select("ent", "pred", "value").distinct(), "ent")
+    return once.groupBy("cat", "pred", "value").agg(F.count(F.lit(1)).alias("n")).join(size, "cat").select("cat", "pred", "value", (F.col("n") / F.col("size")).alias("freq"))
 
 
 def popularity(triples: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from sheaf.functions import wikitext as W
 from sheaf.operators import linkage as L
 from sheaf.operators import metrics as M
+from sheaf.operators import ontology as O
+from sheaf.operators import triples as T
+from sheaf.sources import sinks as S
 
 
 def most_rows(df) -> int:
@@ -131,3 +134,28 @@ def test_matching_pairs_of_a_common_entity_are_spread(spark, monkeypatch):
     want = [(a, b, 1) for lo, hi in ((0, 400), (400, 420)) for a in range(lo, hi) for b in range(a + 1, hi)] + [(1, 410, 0)]
     assert sorted(tuple(r)[:3] for r in rows) == sorted(want)
     assert pd.Series([r["p"] for r in rows]).value_counts().max() < 0.6 * len(want)
+
+
+def test_type_distribution_carries_counts_up(spark):
+    types = spark.createDataFrame([(f"e{i}", "leaf" if i % 2 else "other") for i in range(3000)], "ent string, type string")
+    paths = spark.createDataFrame([("mid", "leaf", 1), ("top", "leaf", 2), ("top", "leaf", 3), ("top", "mid", 1), ("leaf", "leaf", 2)], "ancestor string, descendant string, depth int")
+    found = S.type_distribution(types, paths)
+    assert {tuple(r) for r in found.collect()} == {("leaf", 1500), ("mid", 1500), ("top", 1500), ("other", 1500)}
+    assert most_rows(found) <= 3000
+
+
+def test_category_frequencies_count_as_they_join(spark):
+    members = spark.createDataFrame([(c, f"e{i}") for i in range(300) for c in "ab"] * 2 + [("a", None)], "cat string, ent string")
+    props = spark.createDataFrame([(f"e{i}", "p", str(i % 2)) for i in range(300)] * 2, "ent string, pred string, value string")
+    found = T.category_property_frequency(members, props)
+    assert {(r["cat"], r["value"], round(r["freq"], 4)) for r in found.collect()} == {(c, v, round(150 / n, 4)) for c, n in (("a", 601), ("b", 600)) for v in "01"}
+    assert found._jdf.queryExecution().executedPlan().toString().count("count(distinct") == 0 and most_rows(found) < 1300
+
+
+def test_listing_types_merge_in_batches(spark):
+    found = [(f"e{i}", o, t, n) for i in range(2500) for o, t, n in (("p", "A", 3), ("p", "B", 1), ("q", "C", 2), (None, "D", 5))]
+    known = [(f"e{i}", "K") for i in range(0, 2500, 2)] + [("x", "K")]
+    disjoint = spark.createDataFrame([("A", "B"), ("B", "A"), ("K", "C"), ("C", "K")], "a string, b string")
+    got = O.merge_listing_types(spark.createDataFrame(found, "ent string, origin string, type string, n int"), spark.createDataFrame(known, "ent string, type string"), disjoint)
+    assert sorted(map(tuple, got.collect())) == sorted((f"e{i}", t) for i in range(2500) for t in (["D"] if i % 2 == 0 else ["C", "D"]))
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
