@@ -88,6 +88,8 @@ def subword_labels(labels: Column, words: Column, ignored: int = -100) -> Column
 
 def gold_subjects(mentions: DataFrame, types: DataFrame, page_types: DataFrame) -> DataFrame:
     """(page, listing, item, ent, label): 1 for a mention (page, listing, item, ent) of an entity with a type that the page's listings are of, 0 for one without."""
-    wanted = mentions.join(page_types.select("page", "type"), "page").join(types.select("ent", "type"), ["ent", "type"], "left_semi").select("page", "listing", "item", "ent").distinct().withColumn("label", F.lit(1))
-    asked = mentions.join(page_types.select("page").distinct(), "page", "left_semi")
-    return asked.select("page", "listing", "item", "ent").distinct().join(wanted, ["page", "listing", "item", "ent"], "left").select("page", "listing", "item", "ent", F.coalesce("label", F.lit(0)).alias("label"))
+    wanted = page_types.groupBy("page").agg(F.collect_set("type").alias("wanted"))
+    own = types.groupBy("ent").agg(F.collect_set("type").alias("own"))
+    rows = mentions.select("page", "listing", "item", "ent").join(wanted, "page").join(own, "ent", "left")
+    hit = F.coalesce(F.arrays_overlap("wanted", "own"), F.lit(False)).cast("int")  # a page's types and an entity's are few: a mention stays one row
+    return rows.groupBy("page", "listing", "item", "ent").agg(F.max(hit).alias("label"))

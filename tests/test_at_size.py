@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import wikitext as W
 from sheaf.operators import linkage as L
+from sheaf.operators import lookups as K
 from sheaf.operators import metrics as M
 from sheaf.operators import ontology as O
 from sheaf.operators import triples as T
@@ -159,3 +160,17 @@ def test_listing_types_merge_in_batches(spark):
     got = O.merge_listing_types(spark.createDataFrame(found, "ent string, origin string, type string, n int"), spark.createDataFrame(known, "ent string, type string"), disjoint)
     assert sorted(map(tuple, got.collect())) == sorted((f"e{i}", t) for i in range(2500) for t in (["D"] if i % 2 == 0 else ["C", "D"]))
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gold_subjects_keep_a_mention_one_row(spark):
+    mentions = spark.createDataFrame([(i % 4, 0, i, i % 50) for i in range(400)] * 2 + [(0, None, 7, 0), (9, 0, 1, 1), (1, 0, 2, None)], "page int, listing int, item int, ent int")
+    types = spark.createDataFrame([(e, f"t{(e + j) % 30}") for e in range(45) for j in range(10)] + [(3, None)], "ent int, type string")
+    pages = spark.createDataFrame([(p, f"t{p * 5 + j}") for p in range(4) for j in range(8)] + [(2, None)], "page int, type string")
+    found = K.gold_subjects(mentions, types, pages)
+    assert most_rows(found) < 1500
+    own, asked = ({} for _ in range(2))
+    for d, rows in ((own, types.collect()), (asked, pages.collect())):
+        for k, t in rows:
+            d.setdefault(k, set()).add(t)
+    want = {(p, n, i, e): int(bool((own.get(e, set()) & asked[p]) - {None})) for p, n, i, e in map(tuple, mentions.collect()) if p in asked}
+    assert {tuple(r)[:4]: r["label"] for r in found.collect()} == want and found.count() == len(want)
