@@ -17,9 +17,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     self loops give a one-node component; direction and repeats don't matter; an empty table gives none.
     """
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    pairs = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # written with its loops, so that reading the result doesn't make the edges again
+    pairs = materialize(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     loops = pairs.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("component"))
-    current = materialize(pairs.where("a <> b"), "components")
+    current = pairs.where("a <> b")
     signature = None
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -37,7 +38,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         )
         following = materialize(small, "components")
         seen = following.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(current)
+        if signature is not None:  # the edges stay, for the loops
+            discard(current)
         current = following
         if tuple(seen) == signature:
             break

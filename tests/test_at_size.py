@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import wikitext as W
 from sheaf.operators import linkage as L
+from sheaf.operators.components import connected_components
 from sheaf.operators import lookups as K
 from sheaf.operators import metrics as M
 from sheaf.operators import ontology as O
@@ -174,3 +175,20 @@ def test_gold_subjects_keep_a_mention_one_row(spark):
             d.setdefault(k, set()).add(t)
     want = {(p, n, i, e): int(bool((own.get(e, set()) & asked[p]) - {None})) for p, n, i, e in map(tuple, mentions.collect()) if p in asked}
     assert {tuple(r)[:4]: r["label"] for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_components_make_their_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def edges(parts):
+        for pdf in parts:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = spark.createDataFrame([(1, 2), (2, 3), (5, 5), (7, 6), (None, 1)], "src long, dst long").mapInPandas(edges, "src long, dst long")
+    found = connected_components(rows)
+    for _ in range(2):
+        assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 6), (7, 6)}
+    assert made.value == 5
+    none = connected_components(rows.where("src > 100"))
+    assert none.count() == 0
