@@ -123,18 +123,19 @@ class _Best:
         return np.repeat(np.arange(lo, lo + len(scores)), rank.shape[1]), other.ids[rank].ravel(), np.take_along_axis(scores, rank, 1).ravel()
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int = 4, same: bool = True) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = 4, same: bool = True, block: int | None = None) -> DataFrame:
     """(src, dst, score): the k vectors of the corpus with the largest inner product, lower ids first of equals; not itself, if ``same``.
 
     Rows are put into slabs, and slabs into blocks; each pair of blocks is a task, where tiles of single-precision products rule out what can't be among the best
     by more than their error, and the rest is worked out in double precision. Within one table a tile serves both of its sides. Up to BLOCKS * BLOCK slabs a vector is sent BLOCKS times,
-    beyond that once for each block; k rows a vector and task go on. Vectors: (id, vector).
+    beyond that once for each block; k rows a vector and task go on. Vectors: (id, vector); ``block`` of them are a slab, SLAB if not given.
     """
     queries, corpus = queries.select("id", "vector"), corpus.select("id", "vector")
     one = same and queries.sameSemantics(corpus)
+    most = block or SLAB
 
     def blocks(df: DataFrame) -> tuple[DataFrame, int]:
-        parts = max(1, -(-df.count() // SLAB))
+        parts = max(1, -(-df.count() // most))
         n = max(min(parts, BLOCKS), -(-parts // BLOCK))
         return _slabs(df, parts).withColumn("block", F.pmod("slab", F.lit(n)).cast("int")), n
 
@@ -157,7 +158,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 4, same: bool = True
                 ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], r["kind"]).reshape(-1, r["width"])
                 fine = np.isfinite(x).all(1)
                 ids, x = ids[fine], x[fine]
-                sides[r["side"]].extend(_Best(ids[lo : lo + SLAB], x[lo : lo + SLAB], k) for lo in range(0, len(ids), SLAB))
+                sides[r["side"]].extend(_Best(ids[lo : lo + most], x[lo : lo + most], k) for lo in range(0, len(ids), most))
         a, b = sides
         for i, q in enumerate(a):
             for j, c in enumerate(a if one and not b else b):
